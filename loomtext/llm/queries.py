@@ -5,22 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
+from .linededup import dedup_lines
 from .minhash import MinHashConfig, near_duplicates
+from .mixing import mix_sources
+from .packing import pack
+from .toxicity import crc_fold, fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
+
+
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, as this query's results are defined; the operator's own default is five."""
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashConfig(shingle_words=2))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document after deletion of later repeated runs, with the deleted line numbers as first-last pairs."""
+    done = dedup_lines(_table(spark, sf_dir, "documents"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("removed") / 2 - 1, F.lit(0)).cast("int")), lambda i: F.concat_ws("-", F.try_element_at("removed", 2 * i + 1).cast("string"), F.try_element_at("removed", 2 * i + 2).cast("string")))
+    return done.select("doc_id", "text", "n_removed", F.when(F.size("removed") > 0, F.concat_ws(",", pairs)).otherwise("").alias("removed_lines"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(crc_fold(F.col("doc_id")) != 0))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_pack_sequences": op3_pack_sequences,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

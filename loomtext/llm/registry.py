@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
-
 from . import queries as q
 
 
-def _pipeline():
-    """corpus_pipeline stands at the repository's top and goes with this subpackage."""
-    return importlib.import_module("corpus_pipeline") if importlib.util.find_spec("corpus_pipeline") else None
-
-
 def queries() -> dict:
-    found = dict(q.QUERIES)
-    if (pipeline := _pipeline()) is not None:
-        found["pipeline"] = pipeline.run
-    return found
+    import corpus_pipeline
+
+    return q.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = dict(q.ORACLE_SQL)
-    if (pipeline := _pipeline()) is not None and pipeline.ORACLE_SQL:
-        found["pipeline"] = pipeline.ORACLE_SQL
-    return found
+    import corpus_pipeline
+
+    return q.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
