@@ -16,6 +16,7 @@ from .textkit import TEXT_ROWS_PER_BATCH
 BROADCAST_IDS = 400_000
 
 _ROOTS: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def _root(spark: SparkSession) -> str:
@@ -48,9 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """Where the list of written tables stands now, for ``trimmed``."""
+    return len(_TABLES.setdefault(spark.sparkContext.applicationId, []))
+
+
+def trimmed(result: DataFrame, since: int = 0) -> DataFrame:
+    """The result, after removal of the tables written since ``mark`` that its plan doesn't read."""
+    spark = result.sparkSession
+    tables = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    read = {f.rsplit("/", 1)[0] for f in result.inputFiles()}
+    name = lambda path: path.rsplit("/", 1)[1]
+    used = {name(folder) for folder in read}
+    for path in tables[since:]:
+        if name(path) not in used:
+            drop_tables(spark, path)
+    tables[since:] = [path for path in tables[since:] if name(path) in used]
+    return result
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Bounds the rows of text that a Python worker is handed at once."""
     conf = df.sparkSession.conf

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .ann import nearest_neighbours
+from .chat import format_chats
+from .embeddings import embedding_near_duplicates
+from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .minhash import MinHashConfig, near_duplicates
 from .mixing import mix_sources
 from .packing import pack
+from .secrets import BASE_KINDS, scan_versions, span_text
 from .toxicity import crc_fold, fit_toxicity, score_toxicity
 
 
@@ -24,16 +29,36 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, as this query's results are defined; the operator's own default is five."""
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashConfig(shingle_words=2))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan: the ledger is empty, so every blob is unseen."""
+    found, _ = scan_versions(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[of(k) for k in BASE_KINDS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document after deletion of later repeated runs, with the deleted line numbers as first-last pairs."""
     done = dedup_lines(_table(spark, sf_dir, "documents"))
@@ -41,6 +66,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_removed", F.when(F.size("removed") > 0, F.concat_ws(",", pairs)).otherwise("").alias("removed_lines"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(crc_fold(F.col("doc_id")) != 0))
@@ -49,11 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op3_pack_sequences": op3_pack_sequences,
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op8_line_dedup": op8_line_dedup,
-    "op10_toxicity": op10_toxicity,
-}
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_embedding_near_dedup, op3_pack_sequences, op4_chat_format, op5_minhash_near_dedup,
+        op6_secret_scan, op7_license_scan, op8_line_dedup, op9_nearest_neighbours, op10_toxicity,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
