@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression of a lambda's outside would be computed at each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
@@ -79,21 +84,22 @@ def words(c: Column | str) -> Column:
 
 
 def _grams(w: Column, k: int) -> Column:
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " ")))
 
 
 def shingles(c: Column | str, k: int = 5) -> Column:
     """Distinct k-word shingles; fewer words are one shingle; none, an empty array."""
-    w = words(c)
-    one = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.array_distinct(F.coalesce(_grams(w, k), one))
+    def all_of(w: Column) -> Column:
+        one = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.array_distinct(F.coalesce(_grams(w, k), one))
+
+    return let(words(c), all_of)
 
 
 def blank_shingles(c: Column | str, k: int = 3) -> Column:
     """Distinct k-word shingles over words between white space; fewer words give the stripped lower-cased text."""
     t = F.lower(strip(F.coalesce(col(c), F.lit(""))))
-    w = F.split(t, rf"(?U){SPACE}+")
-    return F.array_distinct(F.coalesce(F.when(t != "", _grams(w, k)), F.array(t)))
+    return let(t, lambda x: F.array_distinct(F.coalesce(let(F.split(x, rf"(?U){SPACE}+"), lambda w: F.when(x != "", _grams(w, k))), F.array(x))))
 
 
 def alpha_ratio(c: Column | str) -> Column:

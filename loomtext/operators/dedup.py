@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +59,42 @@ def mark_image_duplicates(records: DataFrame) -> DataFrame:
     return records.join(by_record, "ordinal", "left").withColumn("downloaded_files", marked).drop("_dups")
 
 
+def _bucketed(bands: int, rows: int, seed: int = 1):
+    """Band buckets of arrays of shingle hashes: minima under random linear maps, a hash for each band's."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    factor = draw.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = draw.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    weight = draw.integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def one(shingles) -> list[int]:
+        with np.errstate(over="ignore"):
+            h = np.array(shingles, dtype=np.int64).view(np.uint64)
+            least = np.full(bands * rows, np.uint64(2**64 - 1))
+            for i in range(0, len(h), 4096):  # a long text's table stays small
+                part = h[i : i + 4096, None] * factor + shift
+                least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0))
+            keys = (least.reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64)
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
+        return keys.view(np.int64).tolist()
+
+    def run(batches):
+        for batch in batches:
+            ordinals, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = [one(x or []) for x in hashes]
+            yield pa.record_batch([pa.array([o for o in ordinals for _ in range(bands)], pa.int64()), pa.array([k for row in keys for k in row], pa.int64())], names=["ordinal", "bucket"])
+
+    return run
+
+
 def band_entries(records: DataFrame, num_perm: int = 128, bands: int = 8, rows: int = 16, k: int = 5, content: str = "content") -> DataFrame:
-    """``ordinal, bucket``: a row for each band of each record's MinHash signature.  A text without words has one shingle-less signature."""
-    # As many as the bands use, whatever ``num_perm``: components beyond are never compared.
-    used = min(num_perm, bands * rows)
-    shingles = T.shingles(content, k)
-    least = lambda i: F.coalesce(F.array_min(F.transform(F.col("_sh"), lambda s: F.xxhash64(i, s))), F.lit(2**62))
-    hashed = records.select("ordinal", F.transform(shingles, lambda s: F.xxhash64(s)).alias("_sh"))
-    signed = hashed.select("ordinal", F.transform(F.sequence(F.lit(0), F.lit(used - 1)), least).alias("_sig"))
-    buckets = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.array_join(F.slice("_sig", b * rows + 1, rows).cast("array<string>"), ",")))
-    return signed.select("ordinal", F.explode(buckets).alias("bucket"))
+    """``ordinal, bucket``: a row for each band of each record's MinHash signature, of which ``bands * rows`` components are used.
+    Texts without words all have the same buckets."""
+    if bands * rows > num_perm:
+        raise ValueError(f"{bands} bands of {rows} rows need more than {num_perm} components")
+    hashes = F.transform(T.shingles(content, k), lambda s: F.xxhash64(s))
+    return records.select(F.col("ordinal").cast("long").alias("ordinal"), hashes.alias("h")).mapInArrow(_bucketed(bands, rows), "ordinal long, bucket long")
 
 
 def first_wins(entries: DataFrame) -> DataFrame:
@@ -126,7 +153,8 @@ def dedup_stats(flagged: DataFrame) -> DataFrame:
 
 def sha1_signature(c: Column | str, num_perm: int = 128, k: int = 3) -> Column:
     """Signature whose component i is the least SHA-1 of ``i:shingle``, as fixed-width text, which orders as numbers do."""
-    return F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.array_min(F.transform(T.blank_shingles(col(c), k), lambda s: F.sha1(F.concat(i.cast("string"), F.lit(":"), s)))))
+    least = lambda sh: F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.array_min(F.transform(sh, lambda s: F.sha1(F.concat(i.cast("string"), F.lit(":"), s)))))
+    return T.let(T.blank_shingles(col(c), k), least)
 
 
 def signature_similarity(a: Column | str, b: Column | str) -> Column:

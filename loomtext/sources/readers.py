@@ -22,12 +22,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORDS, with_ordin
     ``ordinal`` numbers the lines in file order: file by file, then by line.
     """
     full = T.StructType.fromDDL(schema).add("_bad", "string")
-    if not with_ordinal:
-        rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-        return rows.where("_bad is null").drop("_bad")
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ordinal")).where("trim(value) <> ''")
     parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.select("ordinal", parsed.alias("r")).where("r._bad is null").select("ordinal", *[f"r.{f.name}" for f in full if f.name != "_bad"])
+    rows = lines.select("ordinal", parsed.alias("r")).where("r._bad is null").select("ordinal", *[f"r.{f.name}" for f in full if f.name != "_bad"])
+    return rows if with_ordinal else rows.drop("ordinal")
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFrame:
