@@ -15,7 +15,7 @@ from ..operators.dedup import band_entries, first_wins, is_content
 
 def minute_counts(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Rows by minute; a minute is final once the watermark has passed it."""
-    windowed = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("w")).agg(F.count("*").alias("n"))
+    windowed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("w")).agg(F.count("*").alias("n"))
     return windowed.select(F.col("w.start").alias("minute"), "n")
 
 
@@ -24,7 +24,7 @@ def exact_dedup_stream(stream: DataFrame, content: str = "content", ts: str | No
     hashed = stream.withColumn("_h", T.text_sha1(T.normalize_whitespace(content)))
     if ts is None:
         return hashed.dropDuplicates(["_h"]).drop("_h")
-    return hashed.withWatermark(ts, late).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
+    return hashed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
 def read_bands(spark, path: str) -> DataFrame | None:
