@@ -121,6 +121,14 @@ def test_chats(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_calls_wait_for_later_turns(spark):
+    early = json.dumps({"tool_calls": [{"id": "x", "name": "f", "arguments": '{"v":{"$ref":"y"}}'}]})
+    late = json.dumps({"tool_calls": [{"id": "y", "name": "f", "arguments": "{}"}]})
+    rows = [(1, 0, "assistant", early), (1, 1, "user", "wait"), (1, 2, "assistant", late)]
+    chat = json.loads(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().chat)
+    assert [m.get("id", m["role"]) for m in chat] == ["user", "y", "x"]
+
+
 def test_chats_keep_every_message(spark):
     table = spark.read.parquet(f"{DATA}/conversations.parquet")
     got = {r.conv_id: r for r in format_chats(table).collect()}
