@@ -137,7 +137,7 @@ def yo_fingerprint(spark, sf_dir):
 
 @query(r"SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN n < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, n - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS n_shingles FROM (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents))")
 def shingle_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.shingles("text", 5)).cast("long").alias("n_shingles"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.shingle_hashes("text", 5)).cast("long").alias("n_shingles"))
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER)) END AS n_tokens FROM documents")

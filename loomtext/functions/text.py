@@ -96,6 +96,15 @@ def shingles(c: Column | str, k: int = 5) -> Column:
     return let(words(c), all_of)
 
 
+def shingle_hashes(c: Column | str, k: int = 5) -> Column:
+    """64-bit hashes of the distinct shingles: distinct numbers are found by hashing, distinct texts by comparing all."""
+    def all_of(w: Column) -> Column:
+        one = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.array_distinct(F.transform(F.coalesce(_grams(w, k), one), lambda s: F.xxhash64(s)))
+
+    return let(words(c), all_of)
+
+
 def blank_shingles(c: Column | str, k: int = 3) -> Column:
     """Distinct k-word shingles over words between white space; fewer words give the stripped lower-cased text."""
     t = F.lower(strip(F.coalesce(col(c), F.lit(""))))
@@ -111,8 +120,8 @@ def alpha_ratio(c: Column | str) -> Column:
 def dup_line_ratio(c: Column | str) -> Column:
     """Share of non-blank lines that stand before in the text, stripped and lower-cased; rounded to 3 digits."""
     lines = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "\n"), lambda x: F.lower(strip(x))), lambda x: x != "")
-    n = F.size(lines)
-    return F.when(n > 0, F.round((n - F.size(F.array_distinct(lines))) / n, 3)).otherwise(0.0)
+    hashed = F.transform(lines, lambda x: F.xxhash64(x))
+    return let(hashed, lambda h: F.when(F.size(h) > 0, F.round((F.size(h) - F.size(F.array_distinct(h))) / F.size(h), 3)).otherwise(0.0))
 
 
 def char_count(c: Column | str) -> Column:

@@ -93,8 +93,7 @@ def band_entries(records: DataFrame, num_perm: int = 128, bands: int = 8, rows:
     Texts without words all have the same buckets."""
     if bands * rows > num_perm:
         raise ValueError(f"{bands} bands of {rows} rows need more than {num_perm} components")
-    hashes = F.transform(T.shingles(content, k), lambda s: F.xxhash64(s))
-    return records.select(F.col("ordinal").cast("long").alias("ordinal"), hashes.alias("h")).mapInArrow(_bucketed(bands, rows), "ordinal long, bucket long")
+    return records.select(F.col("ordinal").cast("long").alias("ordinal"), T.shingle_hashes(content, k).alias("h")).mapInArrow(_bucketed(bands, rows), "ordinal long, bucket long")
 
 
 def first_wins(entries: DataFrame) -> DataFrame:
