@@ -130,7 +130,7 @@ def char_count(c: Column | str) -> Column:
 
 def detect_language(c: Column | str) -> Column:
     """ru, en or mixed by the letters of the first 5000 characters; null without any."""
-    sample = F.substring(col(c), 1, 5000)
+    sample = F.substring(F.coalesce(col(c), F.lit("")), 1, 5000)
     cyr = F.regexp_count(sample, F.lit("[Ѐ-ӿ]"))
     lat = F.regexp_count(sample, F.lit("[a-zA-ZİK]"))
     return F.when(cyr > lat * 1.5, "ru").when(lat > cyr * 1.5, "en").when(cyr + lat == 0, F.lit(None).cast("string")).otherwise(F.when((cyr > 0) & (lat > 0), "mixed").when(cyr > lat, "ru").otherwise("en"))
