@@ -2,7 +2,8 @@
 
 Toxic documents go, later repeats of line runs are deleted, one document of each near-duplicate group
 stays, sources are mixed to their target weights, and what is left is packed into sequences.
-Each stage reads what its predecessor wrote and works on all of it.
+Each stage reads what its predecessor wrote and works on all of it.  It first removes the tables that earlier
+stages' results were read from, as those results are written by then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.cluster import by_ids, written
+from loomtext.llm.cluster import by_ids, trimmed, written
 from loomtext.llm.linededup import dedup_lines
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import take_copies
@@ -21,6 +22,7 @@ from loomtext.session import ship
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go.  Only labels outside the held-out fold are learnt from."""
+    trimmed(docs)
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(crc_fold(F.col("doc_id")) != 0))
     return score_toxicity(docs, model, score_col="_score").where("_score < 0.5").select(*docs.columns)
@@ -28,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words or more are cut out; a document of nothing else goes."""
+    trimmed(docs)
     done = dedup_lines(docs).where("not (n_removed > 0 and text = '')")
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", size.cast("long")).select(*docs.columns)
@@ -35,6 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group (shingles of five words, similarity of 0.8 or more) the smallest id stays, once."""
+    trimmed(docs)
     groups = written(near_duplicates(docs), "groups")
     counts = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     counts = written(counts.where("not kept or n > 1"), "dropped")
@@ -46,11 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks, words counted."""
+    trimmed(docs)
     return take_copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens a sequence, with their ids."""
+    trimmed(docs)
     return pack(docs)
 
 

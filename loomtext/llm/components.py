@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import written
+from .cluster import mark, trimmed, written
 
 #: Links that one union-find holds at once; beyond it, a partition is contracted in runs.
 RUN = 1_000_000
@@ -49,6 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     minima with partial aggregation, so a hub with very many links doesn't meet in one task.
     Null ends and loops are dropped; without links the result is empty.
     """
+    since = mark(links.sparkSession)
     a, b = links.columns[:2]
     links = links.select(F.col(a).alias("hi"), F.col(b).alias("lo")).where("hi is not null and lo is not null and hi <> lo")
     stars = written(links.mapInArrow(_contract, "hi long, lo long"), "links")
@@ -62,6 +63,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", "m"))
         stars = written(small.distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        trimmed(stars, since)
         if now == before:
             break
         before = now

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import BROADCAST_IDS, small_batches, written
+from .cluster import BROADCAST_IDS, mark, small_batches, trimmed, written
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,7 @@ def dedup_lines(docs: DataFrame, config: LineDedupConfig | None = None, id_col:
     id count as one place, so neither deletes the other.  A text all of whose lines go becomes empty.
     An empty table gives an empty result; columns of these names are replaced.
     """
+    since = mark(docs.sparkSession)
     found = written(repeated_runs(docs, config, id_col, text_col), "runs").select(F.col("id").alias("_id"), "ranges", F.col("n_removed").alias("_gone"))
     if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and (found.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= 8 * BROADCAST_IDS:
         found = F.broadcast(found)
@@ -150,4 +151,4 @@ def dedup_lines(docs: DataFrame, config: LineDedupConfig | None = None, id_col:
     cut = F.pandas_udf(_without_lines, "string")
     shorter = cut(F.when(F.col("ranges").isNotNull(), F.col(text_col)), F.col("ranges"))
     plain = [F.coalesce("_short", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_removed", "removed")]
-    return joined.withColumn("_short", shorter).select(*plain, F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("ranges", F.expr("cast(array() as array<int>)")).alias("removed"))
+    return trimmed(joined.withColumn("_short", shorter).select(*plain, F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("ranges", F.expr("cast(array() as array<int>)")).alias("removed")), since)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import written
+from .cluster import mark, trimmed, written
 
 #: Sources whose targets are broadcast at most, after they have been counted.
 BROADCAST_SOURCES = 50_000
@@ -122,6 +122,7 @@ def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str =
     table gives an empty result; other columns are ignored.
     """
     cfg = config or MixConfig()
+    since = mark(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = written(source_targets(rows, cfg), "targets")
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -151,13 +152,14 @@ def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str =
     chosen = chosen.select(F.col("id").alias("i"), F.col("rank").alias("r"), (F.col("whole") + F.col("part").cast("int")).alias("copies"))
     full = rows.join(hint(ruled.drop("leaves")), F.col("source").eqNullSafe(F.col("of")))
     full = full.join(chosen, (F.col("rank") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")))
-    return full.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
+    return trimmed(full.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies"), since)
 
 
 def take_copies(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
     """The documents themselves, each as often as ``mix_sources`` takes it, with their own columns."""
+    since = mark(docs.sparkSession)
     chosen = mix_sources(docs, config)
     chosen = written(chosen.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "copies").distinct().withColumnRenamed("copies", "_n"), "copies")
     joined = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    return joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).drop("_copy")
+    return trimmed(joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).drop("_copy"), since)
 
