@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import written
+from .cluster import mark, trimmed, written
 from .embeddings import squared_norm, takes_part
 
 
@@ -27,11 +27,11 @@ class AnnConfig:
     list_rows: int = 512
     max_lists: int = 1024
     degree: int = 16
-    replicas: int = 4
+    replicas: int = 2
     boundary: float = 1.04
     recall: float = 0.97
     group: int = 16
-    shard_rows: int = 2048
+    shard_rows: int = 16_384
     query_rows: int = 2048
     seed: int = 9
 
@@ -180,32 +180,27 @@ _HIT = "query_id long, vec_id long, score double"
 
 def _best_in_cell(k: int):
     def run(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(stored) and len(asked):
-            ids = stored["id"].to_numpy()
-            x = _matrix(stored["vector"])
-            at = stored["list"].to_numpy()
-            for query, vector, lists in zip(asked["id"], _matrix(asked["vector"]), asked["lists"], strict=True):
-                here = np.flatnonzero(np.isin(at, lists) & (ids != query))
-                if not len(here):
-                    continue
-                rough = x[here] @ vector
-                if len(here) > k:
-                    # The rough product may differ in its last digits by the order of its sums.
-                    least = np.partition(rough, len(here) - k)[len(here) - k]
-                    here = here[rough >= least - 1e-9 * max(1.0, abs(least))]
-                score = (x[here] * vector).sum(axis=1)
-                order = np.lexsort((ids[here], -score))
-                took: set[int] = set()
-                for i in order:
-                    if int(ids[here[i]]) not in took:
-                        took.add(int(ids[here[i]]))
-                        found["query_id"].append(query)
-                        found["vec_id"].append(ids[here[i]])
-                        found["score"].append(score[i])
-                        if len(took) == k:
-                            break
-        return pd.DataFrame(found).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            ids, x, held = stored["id"].to_numpy(), _matrix(stored["vector"]), stored["mask"].to_numpy()
+            queries, q, probed = asked["id"].to_numpy(), _matrix(asked["vector"]), asked["mask"].to_numpy()
+            for a in range(0, len(q), 64):
+                rough = q[a : a + 64] @ x.T
+                rough[(probed[a : a + 64, None] & held[None]) == 0] = -np.inf
+                rough[queries[a : a + 64, None] == ids[None]] = -np.inf
+                # The rough product may differ in its last digits by the order of its sums.
+                least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(rough), -np.inf)
+                least = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
+                for i, row in enumerate(rough):
+                    here = np.flatnonzero((row >= least[i]) & np.isfinite(row))
+                    score = (x[here] * q[a + i]).sum(axis=1)
+                    order = np.lexsort((ids[here], -score))
+                    # Rows that repeat an id are one answer; its nearest row comes first.
+                    _, first = np.unique(ids[here[order]], return_index=True)
+                    best = order[np.sort(first)[:k]]
+                    found.append((np.full(len(best), queries[a + i]), ids[here[best]], score[best]))
+        column = lambda i, kind: np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind)
+        return pd.DataFrame({"query_id": column(0, "int64"), "vec_id": column(1, "int64"), "score": column(2, "float64")})
 
     return run
 
@@ -224,12 +219,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, config: AnnConfig
     all that the lists hold are returned, and lists are added until they hold k.  Empty tables give an empty result.
     """
     cfg = config or AnnConfig()
+    since = mark(vectors.sparkSession)
     usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & takes_part(F.col("vector")))
     rows, asked = usable(vectors), usable(queries)
     spark = vectors.sparkSession
     dims = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max(squared_norm(F.col("vector"))).alias("top")).orderBy(F.desc("n"), "d").first()
     if dims is None:
-        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fits = F.size("vector") == dims["d"]
     rows, asked = rows.where(fits), asked.where(fits)
     taken = rows.orderBy(F.xxhash64(F.lit(cfg.seed), "id"), "id").limit(cfg.sample).select("vector").toPandas()
@@ -237,10 +233,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, config: AnnConfig
     stored = written(rows.mapInArrow(_postings(index, cfg), "id long, vector array<double>, lists array<int>"), "postings")
     sizes = {r[0]: r[1] for r in stored.groupBy(F.col("lists")[0].alias("l")).count().collect()}
     counts = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
-    stored = stored.select("id", "vector", F.explode("lists").alias("list")).withColumn("cell", F.floor(F.col("list") / cfg.group).cast("int"))
+    # A cell is a group of neighbouring lists; a mask tells which of them a vector is in, or a query probes.
+    cell_of = lambda x: F.floor(x / cfg.group).cast("int")
+    mask = F.aggregate(F.filter("lists", lambda x: cell_of(x) == F.col("cell")), F.lit(0).cast("long"), lambda s, x: s + F.pow(F.lit(2.0), x % cfg.group).cast("long"))
+    celled = lambda df: df.withColumn("cell", F.explode(F.array_distinct(F.transform("lists", cell_of)))).withColumn("mask", mask).drop("lists")
     probed = written(asked.mapInArrow(_probes(index, cfg, counts), "id long, vector array<double>, lists array<int>"), "probes")
-    cells = F.array_distinct(F.transform("lists", lambda x: F.floor(x / cfg.group).cast("int")))
-    probed = probed.withColumn("cell", F.explode(cells)).withColumn("lists", F.filter("lists", lambda x: F.floor(x / cfg.group).cast("int") == F.col("cell")))
+    stored, probed = celled(stored), celled(probed)
     # Both sides' numbers by cell are bounded by the number of lists, so they travel as literals.
     held = {r[0]: -(-r[1] // cfg.shard_rows) for r in stored.groupBy("cell").count().collect()}
     askers = {r[0]: -(-r[1] // cfg.query_rows) for r in probed.groupBy("cell").count().collect()}
@@ -251,4 +249,4 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, config: AnnConfig
     hits = stored.groupBy(*key).cogroup(probed.groupBy(*key)).applyInPandas(_best_in_cell(cfg.k), _HIT)
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
+    return trimmed(hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score"), since)
