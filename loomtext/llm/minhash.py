@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import by_ids, small_batches, written
+from .cluster import by_ids, mark, small_batches, trimmed, written
 from .components import components
 
 
@@ -24,6 +24,8 @@ class MinHashConfig:
     threshold_percent: int = 80
     bands: int = 32
     rows: int = 4
+    leader_turns: int = 2
+    counters: int = 1 << 18
     seed: int = 11
 
     @property
@@ -37,6 +39,10 @@ class MinHashConfig:
         return int(np.ceil(m * p + 6.2 * np.sqrt(m * p * (1 - p))))
 
 
+#: Elements whose permutations are held at once, besides those of a single large set, which needs few.
+ELEMENTS = 1 << 15
+
+
 def superminhash(sets: np.ndarray, at: np.ndarray, m: int, seed: int) -> np.ndarray:
     """Signatures of sets of hashes: row i of the result is that of ``sets[at[i]:at[i + 1]]``.
 
@@ -45,8 +51,16 @@ def superminhash(sets: np.ndarray, at: np.ndarray, m: int, seed: int) -> np.ndar
     above every component of its set, which for large sets is after a step or two.  An empty set's
     components are infinite.
     """
-    n = len(at) - 1
-    sig = np.full((n, m), np.inf)
+    sig = np.full((len(at) - 1, m), np.inf)
+    group = at[1:] // ELEMENTS  # runs of sets, so that the permutations in use stay few
+    for g in np.unique(group):
+        lo, hi = np.searchsorted(group, g), np.searchsorted(group, g, side="right")
+        _fill(sig[lo:hi], sets[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], seed)
+    return sig
+
+
+def _fill(sig: np.ndarray, sets: np.ndarray, at: np.ndarray, seed: int) -> None:
+    n, m = sig.shape
     row = np.repeat(np.arange(n), np.diff(at))
     with np.errstate(over="ignore"):
         state = K.mix(sets ^ K.U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -80,7 +94,6 @@ def superminhash(sets: np.ndarray, at: np.ndarray, m: int, seed: int) -> np.ndar
             perm[:, 0] = kept
         else:
             perm = perm[keep]
-    return sig
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -147,14 +160,53 @@ def _verified(cfg: MinHashConfig):
     return run
 
 
+def _slots(elements: np.ndarray, cfg: MinHashConfig) -> np.ndarray:
+    return (K.mix(elements) % K.U64(cfg.counters)).astype(np.int64)
+
+
+def _counted(cfg: MinHashConfig):
+    """How often the shingles of each slot stand in the sets; the number of slots is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cfg.counters, np.int64)
+        for b in batches:
+            for x in b.column("elements"):
+                np.add.at(total, _slots(np.frombuffer(x.as_buffer(), np.uint64), cfg), 1)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(cfg: MinHashConfig, frequency: np.ndarray):
+    """The rarest shingles of each set, so many that a linked set must have one of them among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, shingles, places = [], [], []
+            for i, x in zip(b.column("id").to_pylist(), b.column("elements"), strict=True):
+                u = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((u, frequency[_slots(u, cfg)]))
+                first = u[order[: len(u) - -(-len(u) * cfg.threshold_percent // 100) + 1]]
+                ids.append(np.full(len(first), i, np.int64))
+                shingles.append(first)
+                places.append(np.arange(len(first)))
+            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            yield pa.record_batch([pa.array(flat(ids, np.int64)), _signed(flat(shingles, np.uint64)), pa.array(flat(places, np.int64))], names=["id", "bucket", "place"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, itself included) and ``kept``.
 
     Two documents are linked when ``100 * |A & B| >= threshold_percent * |A | B|`` for their sets of
     word shingles (A-Z lower-cased, words of non-white-space).  Equal sets form a class, of which only
-    the smallest id goes on.  Every band bucket first pairs its members with a few leaders (minima
-    under different orders), which joins large groups by few pairs; then members of a bucket that
-    are still in different components are paired if one-bit sketches and set sizes allow a link.  Every
+    the smallest id goes on.  Every band bucket first pairs its members with its smallest id, then those not yet
+    joined with two more members, which settles large groups by few pairs.  Last, all documents of
+    buckets that still hold several components are paired if they share a shingle of their prefixes, the rarest
+    ones of a set, of which any linked set must have one among its own, early enough in both.  So no group is paired whole,
+    and no link is lost.  Pairs whose one-bit sketches or set sizes rule a link out are left.  Every
     pair is confirmed on the full sets, recomputed from the text, before it counts.
 
     A null or empty text, or one without words, has an empty set and links with nothing.  Rows that
@@ -162,6 +214,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     An empty table gives an empty result; other columns are ignored.
     """
     cfg = config or MinHashConfig()
+    since = mark(docs.sparkSession)
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = written(source.mapInArrow(_profiles(cfg, 1), "id long, n_shingles long, h1 long, h2 long, sketch array<long>, bands array<long>"), "profiles")
     classes = (
@@ -172,43 +225,59 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     classes = written(classes.withColumnRenamed("n_shingles", "n"), "classes")
     entries = classes.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    live = written(entries.join(written(shared, "shared"), "bucket", "left_semi"), "live")
+    shared = written(shared, "shared")
     traits = classes.select("id", "n", "sketch")
-    leaders = live.groupBy("bucket").agg(F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64(F.lit(x), "id")) for x in (1, 2)])).alias("leader"))
-    leaders = written(leaders.select("bucket", F.explode("leader").alias("leader")), "leaders")
-    led = live.join(leaders, "bucket").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    live = written(entries.join(shared, "bucket", "left_semi").join(traits, "id"), "live")
+    sets = written(small_batches(by_ids(source, live.select("id"), "id", "left_semi")).mapInArrow(_sets(cfg), "id long, elements binary"), "sets")
+    apart = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(-(-cfg.permutations // 64))), F.lit(0))
+    t = cfg.threshold_percent
+    possible = (F.col("k1") != F.col("k2")) & (F.col("n1") * 100 >= F.col("n2") * t) & (F.col("n2") * 100 >= F.col("n1") * t) & (apart("s1", "s2") <= cfg.sketch_limit)
 
-    sets_of = lambda ids: small_batches(by_ids(source, ids, "id", "left_semi")).mapInArrow(_sets(cfg), "id long, elements binary")
+    def placed_in(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return live.withColumn("k", F.col("id"))
+        groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("k"))
+        return written(live.join(groups, "id", "left").withColumn("k", F.coalesce("k", "id")), "placed")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.join(traits.withColumnRenamed("id", "a"), "a").join(traits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "b")
-        near = (F.col("n") * 100 >= F.col("n2") * cfg.threshold_percent) & (F.col("n2") * 100 >= F.col("n") * cfg.threshold_percent)
-        bits = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = written(pairs.where(near & (bits <= cfg.sketch_limit)).select("a", "b"), name)
-        sets = written(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), f"{name}-sets")
+        pairs = written(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct(), name)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
         return written(both.mapInArrow(_verified(cfg), "a long, b long"), f"{name}-links")
 
-    first = confirm(led, "led")
-    groups = written(components(first), "groups")
-    placed = live.join(traits.select("id", "n"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-    # Linked sets differ in size by a factor of at most 100 / threshold, so sizes in classes of that ratio only meet their own and the next.
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / cfg.threshold_percent) + 1e-9))
-    rest = written(placed.join(written(mixed, "mixed"), "bucket", "left_semi").withColumn("size_class", step), "rest")
-    left = rest.withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1)))
-    left = left.select("bucket", "size_class", F.col("id").alias("id1"), F.col("component").alias("k1"))
-    right = rest.select("bucket", "size_class", F.col("id").alias("id2"), F.col("component").alias("k2"))
-    across = left.join(right, ["bucket", "size_class"]).where("k1 <> k2").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    second = confirm(across, "across")
+    side = lambda df, i, *more: df.select("bucket", *more, F.col("id").alias(f"id{i}"), F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
+    links = None
+    for turn in range(cfg.leader_turns):
+        placed = placed_in(links)
+        orders = [F.xxhash64(F.lit(2 * turn + x), "id") for x in (0, 1)] if turn else [F.col("id")]
+        leaders = placed.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "k", "n", "sketch"), o) for o in orders])).alias("x"), F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
+        leaders = written(leaders.select("bucket", F.explode("x").alias("x")).select("bucket", "x.*"), f"leaders{turn}")
+        led = side(placed, 1).alias("l").join(side(leaders, 2).alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & possible)
+        found = confirm(led, f"led{turn}")
+        links = found if links is None else links.union(found)
+    placed = placed_in(links)
+    mixed = placed.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("bucket")
+    rest = placed.join(written(mixed, "mixed"), "bucket", "left_semi").groupBy("id").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rest = written(rest, "rest")
+    open_sets = written(sets.join(rest.select("id"), "id", "left_semi"), "open-sets")
+    frequency = np.zeros(cfg.counters, np.int64)
+    for slot, n in open_sets.mapInArrow(_counted(cfg), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        frequency[slot] = n
+    prefixes = open_sets.mapInArrow(_prefixes(cfg, frequency), "id long, bucket long, place long").join(rest, "id")
+    prefixes = written(prefixes, "prefixes")
+    # What two linked sets have in common is so much that their first common shingle stands early in both.
+    early = lambda i: (F.col(f"n{i}") - F.col(f"p{i}")) * (100 + t) >= (F.col("n1") + F.col("n2")) * t
+    one = side(prefixes, 1, F.col("place").alias("p1")).alias("l")
+    two = side(prefixes, 2, F.col("place").alias("p2")).alias("r")
+    across = one.join(two, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("id1") < F.col("id2")) & early(1) & early(2) & possible)
+    links = links.union(confirm(across, "across"))
     member = profiles.where("n_shingles > 0 and id is not null").join(classes.select(F.col("n").alias("n_shingles"), "h1", "h2", F.col("id").alias("node")), ["n_shingles", "h1", "h2"]).select("id", "n_shingles", "node")
     member = written(member, "members")
     repeated = member.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
-    linked = components(first.union(second).union(member.join(repeated, "id", "left_semi").select("id", "node")))
+    linked = components(links.union(member.join(repeated, "id", "left_semi").select("id", "node")))
     plain = profiles.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("node"))
     grouped = member.union(plain).join(linked, "node", "left")
-    return grouped.select(
+    result = grouped.select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "node").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "node"), F.lit(True)).alias("kept"),
     )
+    return trimmed(result, since)
