@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Bytes hashed at once; bounds the working set of a task whatever the text length.
 BLOCK = 1 << 19
 #: Bytes of text of one slice of a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of text in one Arrow batch handed to a Python worker.
 TEXT_ROWS_PER_BATCH = 256
 
