@@ -160,6 +160,7 @@ def take_copies(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
     since = mark(docs.sparkSession)
     chosen = mix_sources(docs, config)
     chosen = written(chosen.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "copies").distinct().withColumnRenamed("copies", "_n"), "copies")
-    joined = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
+    # Texts are shuffled at every size and hash the small side, so they aren't sorted.
+    joined = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
     return trimmed(joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).drop("_copy"), since)
 
