@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.cluster import by_ids, trimmed, written
-from loomtext.llm.linededup import dedup_lines
+from loomtext.llm.linededup import LineDedupConfig, dedup_lines
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import take_copies
 from loomtext.llm.packing import pack
@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of 50 words or more are cut out; a document of nothing else goes."""
+    """Later repeats of runs of 50 words or more are cut out whole; a document of nothing else goes."""
     trimmed(docs)
-    done = dedup_lines(docs).where("not (n_removed > 0 and text = '')")
+    done = dedup_lines(docs, LineDedupConfig(whole_runs=True)).where("not (n_removed > 0 and text = '')")
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", size.cast("long")).select(*docs.columns)
 

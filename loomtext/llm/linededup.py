@@ -1,4 +1,4 @@
-"""Line dedup: winnowed line fingerprints, joined positions, matches extended both ways, later runs deleted."""
+"""Line dedup: winnowed line fingerprints, joined positions, compared windows of lines, later runs deleted."""
 
 from __future__ import annotations
 
@@ -17,9 +17,14 @@ from .cluster import BROADCAST_IDS, mark, small_batches, trimmed, written
 
 @dataclass(frozen=True)
 class LineDedupConfig:
-    """A run of lines counts as repeated from ``min_words`` words on."""
+    """A run of lines counts as repeated from ``min_words`` words on.
+
+    With ``whole_runs`` each repeated run goes as a whole, to its last equal line; without, only those of
+    its lines go that are in a window from a line with words to the first line by which it has ``min_words``.
+    """
 
     min_words: int = 50
+    whole_runs: bool = False
 
 
 def _range_minimum(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -39,11 +44,14 @@ def _range_minimum(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def windows_of(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+def windows_of(data: np.ndarray, offs: np.ndarray, min_words: int, whole_runs: bool = False) -> tuple[np.ndarray, ...]:
     """Row, first line, last line, content hash and fingerprint (line number and hash) of each window.
 
     A window starts at a line with words and ends with the first line by which it has ``min_words`` words.
     What it holds depends on its content alone, and so does the fingerprint, the smallest hash of its lines.
+    For ``whole_runs`` windows start at blank lines too, and each line also ends one, the shortest with
+    ``min_words`` words.  Every line of a run of so many words is then in a window within the run: one from the
+    run's first line if there are fewer words up to it, and the one that it ends if there are not.
     """
     s, e, row = K.line_spans(data, offs)
     if not len(s):
@@ -52,12 +60,18 @@ def windows_of(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.n
     ws, _, _ = K.spans(data, offs, K.NOT_SPACE)
     words = np.searchsorted(ws, e) - np.searchsorted(ws, s)
     total = np.concatenate([[0], np.cumsum(words)])
-    first = np.flatnonzero(words > 0)
+    first = np.arange(len(s)) if whole_runs else np.flatnonzero(words > 0)
     last = np.searchsorted(total[1:], total[first] + min_words)
     ok = last < len(s)
     first, last = first[ok], last[ok]
     ok = row[first] == row[last]
     first, last = first[ok], last[ok]
+    if whole_runs:
+        start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+        end = np.flatnonzero(start >= 0)
+        end = end[row[start[end]] == row[end]]
+        both = np.unique(np.concatenate([first * len(s) + last, start[end] * len(s) + end]))
+        first, last = both // len(s), both % len(s)
     with np.errstate(over="ignore"):
         base = 0x5851F42D4C957F2D
         power, back = np.full(len(s) + 1, K.U64(base)), np.full(len(s) + 1, K.U64(pow(base, -1, 2**64)))
@@ -68,6 +82,9 @@ def windows_of(data: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.n
         content = K.mix((run[last + 1] - run[first]) * back[first] ^ (last - first + 1).astype(K.U64) * K._GOLD)
     rank = np.where(words > 0, h, K.U64(2**64 - 1))
     at = _range_minimum(rank, first, last)
+    if whole_runs:
+        order = np.argsort(at, kind="stable")
+        first, last, content, at = first[order], last[order], content[order], at[order]
     begin = np.searchsorted(row, row[first])
     return row[first], first - begin, last - begin, content, at - begin, h[at]
 
@@ -76,7 +93,7 @@ def _fingerprints(cfg: LineDedupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in K.slices(batch, "text"):
-                row, first, last, content, at, print_ = windows_of(*K.flat(b.column("text")), cfg.min_words)
+                row, first, last, content, at, print_ = windows_of(*K.flat(b.column("text")), cfg.min_words, cfg.whole_runs)
                 ids = b.column("id").to_numpy(zero_copy_only=False)
                 head = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])]) if len(row) else np.zeros(0, bool)
                 cut = pa.array(np.concatenate([np.flatnonzero(head), [len(row)]]).astype(np.int32))
@@ -113,7 +130,7 @@ def repeated_runs(docs: DataFrame, config: LineDedupConfig | None = None, id_col
     live = written(live, "windows")
     earliest = live.groupBy("content").agg(F.min(F.struct("id", "first")).alias("origin"), F.max(F.struct("id", "first")).alias("end")).where("origin <> end").select("content", "origin")
     later = live.join(written(earliest, "origins"), "content").where(F.struct("id", "first") != F.col("origin"))
-    # Windows that overlap or touch are one run: matches extended both ways from their fingerprints.
+    # Windows that overlap or touch are one run.
     spans = later.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     joined = F.aggregate(
         "spans",
@@ -136,8 +153,9 @@ def dedup_lines(docs: DataFrame, config: LineDedupConfig | None = None, id_col:
     Lines are what LF separates, compared as they are.  From every line with words, a window takes lines
     until it has ``min_words`` words; the smallest line hash of a window is its fingerprint, so any
     run of that many words that stands in two places has a fingerprint in common.  Positions of shared fingerprints
-    are joined, and the windows there are compared by all their lines, which extends a match both ways as far as
-    it goes.  The first occurrence by (id, line) stays, later ones go, within a document too.
+    are joined, and the windows there are compared by all their lines.  The first occurrence by (id, line) stays,
+    later ones go, within a document too.  The lines after a run's last full window stay unless ``whole_runs``
+    is set: then every line goes that is in a run of ``min_words`` words or more that also stands earlier.
 
     A null or empty text, and a row with a null id, pass unchanged and match nothing.  Rows that repeat an
     id count as one place, so neither deletes the other.  A text all of whose lines go becomes empty.
