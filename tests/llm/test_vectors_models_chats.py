@@ -129,6 +129,27 @@ def test_calls_wait_for_later_turns(spark):
     assert [m.get("id", m["role"]) for m in chat] == ["user", "y", "x"]
 
 
+def test_calls_that_share_an_identifier_all_stay(spark):
+    said = lambda text, *calls: json.dumps({"content": text, "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
+    result = lambda i, text: json.dumps({"tool_call_id": i, "content": text})
+    twice = said(None, ("d", "h", "{}"))
+    rows = [
+        (1, 0, "assistant", said("I look.", ("call_1", "f", '{"a":1}'))), (1, 1, "tool", result("call_1", "first")), (1, 2, "user", "and?"),
+        (1, 3, "assistant", said("", ("call_1", "g", '{"b":2}'), ("call_2", "g", '{"v":{"$ref":"call_1"}}'))), (1, 4, "tool", result("call_1", "second")), (1, 5, "tool", result("call_2", "third")),
+        (1, 6, "assistant", said(None, ("call_1", "f", '{"v":{"$ref":"call_1"}}'))), (1, 7, "assistant", '{"content":"none","tool_calls":[null]}'),
+        (2, 0, "tool", result("d", "early")), (2, 1, "assistant", twice), (2, 1, "assistant", twice), (2, None, "tool", result("d", "null")),
+        (3, None, "assistant", twice), (3, None, "assistant", twice), (3, None, "tool", result("d", "null")),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in format_chats(frame).collect()}
+    chat = [m.get("content", m.get("arguments")) for m in json.loads(got[1].chat)]
+    assert chat == ["I look.", '{"a":1}', "first", "and?", "", '{"b":2}', "second", '{"v":{"$ref":"call_1"}}', "third", '{"v":{"$ref":"call_1"}}', '{"content":"none","tool_calls":[null]}']
+    assert (got[1].n_messages, got[1].n_calls, got[1].n_linked, got[1].n_orphans, got[1].n_unordered) == (11, 4, 3, 0, 0)
+    assert (got[2].n_messages, got[2].n_calls, got[2].n_linked, got[2].n_orphans) == (4, 2, 2, 0)
+    assert [m.get("content", "call") for m in json.loads(got[2].chat)] == ["call", "null", "early", "call"]
+    assert [m.get("content", "call") for m in json.loads(got[3].chat)] == ["call", "call", "null"]
+
+
 def test_chats_keep_every_message(spark):
     table = spark.read.parquet(f"{DATA}/conversations.parquet")
     got = {r.conv_id: r for r in format_chats(table).collect()}
