@@ -30,7 +30,10 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenseConfig:
-    """A block contains a template when it holds ``threshold_percent`` of its distinct tokens."""
+    """A block contains a template when it holds ``threshold_percent`` of its distinct tokens.
+
+    Blocks are all windows of so many consecutive words as the template has, over that share; lines don't matter.
+    """
 
     phrases: tuple[tuple[str, str], ...] = tuple(PHRASES.items())
     templates: tuple[tuple[str, str], ...] = TEMPLATES
@@ -65,7 +68,7 @@ def _count(vocabulary: np.ndarray):
 
 @dataclass
 class _Join:
-    """Templates as sets of token ranks, rarest first, with an inverted index of their prefixes."""
+    """Templates as sets of token ranks, rarest first, and the width of their blocks."""
 
     cfg: LicenseConfig
     vocabulary: np.ndarray
@@ -75,40 +78,71 @@ class _Join:
         number = lambda text: np.searchsorted(self.vocabulary, K.hash_words([text], K.ALNUM)[0])
         self.sets = [np.unique(self.rank[number(t)]) for t, _ in self.cfg.templates]
         self.need = [-(-len(s) * self.cfg.threshold_percent // 100) for s in self.sets]
-        self.by_prefix: dict[int, list[tuple[int, int]]] = {}
-        for t, s in enumerate(self.sets):
-            for i in range(len(s) - self.need[t] + 1):
-                self.by_prefix.setdefault(int(s[i]), []).append((t, i))
-        self.prefixes = np.zeros(len(self.rank), bool)
-        self.prefixes[list(self.by_prefix)] = True
+        self.width = [-(-len(number(t)) * 100 // self.cfg.threshold_percent) for t, _ in self.cfg.templates]
         # A phrase is a template to be contained whole: its prefix is its rarest token.
         self.sought = [(number(p), label) for p, label in self.cfg.phrases]
         self.rarest = [int(np.argmin(self.rank[p])) for p, _ in self.sought]
 
-    def blocks(self, block: np.ndarray, token: np.ndarray) -> list[tuple[int, int, float]]:
-        """Block, template and containment of every pair that meets the threshold; tokens come with their block, blocks in order."""
-        order = np.lexsort((token, block))
-        block, token = block[order], token[order]
-        new = np.concatenate([[True], (block[1:] != block[:-1]) | (token[1:] != token[:-1])]) if len(block) else np.zeros(0, bool)
-        block, token = block[new], token[new]
-        out = []
-        begin = np.searchsorted(block, block, side="left")
-        end = np.searchsorted(block, block, side="right")
-        seen: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(self.prefixes[token]):
-            held = token[begin[i] : end[i]]
-            for t, place in self.by_prefix[int(token[i])]:
-                need, pair = self.need[t], (int(block[i]), t)
-                if pair in seen or len(held) < need:  # length filter
-                    continue
-                # Positional filter: a pair's first common token leaves at most so many to come on either side.
-                if 1 + min(len(self.sets[t]) - place - 1, int(end[i]) - i - 1) < need:
-                    continue
-                seen.add(pair)
-                common = len(np.intersect1d(self.sets[t], held, assume_unique=True))
-                if common >= need:
-                    out.append((int(block[i]), t, common / len(self.sets[t])))
-        return out
+    def blocks(self, t: int, here: np.ndarray, ranks: np.ndarray, row: np.ndarray, at: np.ndarray) -> list[tuple[int, float]]:
+        """First word and containment of the blocks that contain a template, the best of those that overlap.
+
+        ``here`` are the numbers of known words, with their ``ranks``; ``at`` are the first words of the rows.
+        """
+        members, need, width = self.sets[t], self.need[t], self.width[t]
+        if not len(members):
+            return []
+        place = np.minimum(np.searchsorted(members, ranks), len(members) - 1)
+        mine = members[place] == ranks
+        word, place = here[mine], place[mine]
+        if len(word) < need:
+            return []
+        low, high = [], []
+        # A block's rarest common token is in the template's prefix, the tokens of which leave enough others after them.
+        for i in range(len(members) - need + 1):
+            c = word[place == i]
+            if not len(c):
+                continue
+            lo, hi = np.maximum(c - width + 1, at[row[c]]), np.minimum(c + width, at[row[c] + 1])
+            near = word[place >= i]  # positional filter: the others are not rarer
+            # Length filter: fewer known words around than a block needs.
+            ok = np.searchsorted(near, hi) - np.searchsorted(near, lo) >= need
+            low.append(lo[ok])
+            high.append(hi[ok])
+        if not sum(map(len, low)):
+            return []
+        lo, hi = np.concatenate(low), np.concatenate(high)
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        head = np.flatnonzero(np.concatenate([[True], lo[1:] >= hi[:-1]]))
+        begin, end = np.searchsorted(word, lo[head]), np.searchsorted(word, hi[np.concatenate([head[1:] - 1, [len(hi) - 1]])])
+        return [x for a, b in zip(begin, end, strict=True) for x in self._within(t, word[a:b].tolist(), place[a:b].tolist())]
+
+    def _within(self, t: int, word: list[int], place: list[int]) -> list[tuple[int, float]]:
+        """The blocks in a stretch of one row, given by the template's tokens there."""
+        need, width, size = self.need[t], self.width[t], len(self.sets[t])
+        out: list[list] = []
+        count: dict[int, int] = {}
+        r = 0
+        for j, w in enumerate(word):
+            while r < len(word) and word[r] < w + width:
+                count[place[r]] = count.get(place[r], 0) + 1
+                r += 1
+            common = len(count)
+            if common >= need:
+                seen: set[int] = set()
+                k = j
+                while len(seen) < common:
+                    seen.add(place[k])
+                    k += 1
+                last = word[k - 1]
+                if not out or w > out[-1][1]:
+                    out.append([w, last, common])
+                elif (common, w - last) > (out[-1][2], out[-1][0] - out[-1][1]):
+                    out[-1] = [w, last, common]
+            count[place[j]] -= 1
+            if not count[place[j]]:
+                del count[place[j]]
+        return [(w, common / size) for w, _, common in out]
 
     def places(self, words: np.ndarray, row: np.ndarray, here: np.ndarray, known: np.ndarray) -> list[tuple[np.ndarray, str]]:
         """First positions of each phrase: candidates by its rarest token, then all its words in their order."""
@@ -151,15 +185,16 @@ def _scan(join: _Join):
                         high[r] = max(high[r], i)
                         base[r].add(label)
                 ls, _, lrow = K.line_spans(data, offs)
-                line = np.searchsorted(ls, s[here], side="right") - 1
                 labels = [set(x) for x in base]
                 score = np.array([1.0 if x else 0.0 for x in base])
                 matches: list[list[dict]] = [[] for _ in range(n)]
-                for block, t, share in join.blocks(line, join.rank[known]):
-                    r = int(lrow[block])
-                    labels[r].add(cfg.templates[t][1])
-                    score[r] = max(score[r], share)
-                    matches[r].append({"line": block - int(np.searchsorted(lrow, r)), "template": t, "containment": share})
+                ranks = join.rank[known]
+                for t, (_, label) in enumerate(cfg.templates):
+                    for w, share in join.blocks(t, here, ranks, row, at):
+                        r = int(row[w])
+                        labels[r].add(label)
+                        score[r] = max(score[r], share)
+                        matches[r].append({"line": int(np.searchsorted(ls, s[w], side="right") - 1 - np.searchsorted(lrow, r)), "template": t, "containment": share})
                 text = lambda sets: pa.array([",".join(sorted(x)) for x in sets], pa.string())
                 absent = pa.array(low < 0)
                 position = lambda x: pa.array(x.astype(np.int64), pa.int64(), mask=absent.to_numpy(zero_copy_only=False))
@@ -172,14 +207,15 @@ def _scan(join: _Join):
 
 
 def scan_licenses(docs: DataFrame, config: LicenseConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: words, phrase places, labels, score and the ``matches`` of lines with templates.
+    """One row per document: words, phrase places, labels, score and the ``matches`` of blocks with templates.
 
     Tokens are ordered by how often they stand in all documents, rarest first; a first pass counts the
-    templates' tokens.  A line can only contain enough of a template if it holds a token of the template's
-    prefix, enough known tokens, and enough of them after the first common one; pairs that pass these prefix,
-    length and positional filters are verified on the full sets.  So every line with at least
-    the threshold's share of a template's distinct tokens is found.  A phrase is joined by its rarest token over the whole
-    text, lines disregarded, and its words are then compared one after another.  ``score`` is the largest
+    templates' tokens.  A block, of consecutive words across line ends, can only contain enough of a template if it
+    holds a token of the template's prefix, and around it enough known tokens that are not rarer; blocks that
+    pass these prefix, length and positional filters are verified on the full sets.  So every block with at least
+    the threshold's share of a template's distinct tokens is found; of blocks that overlap, the best is a match,
+    at the line where it begins.  A phrase is joined by its rarest token over the whole
+    text, lines disregarded too, and its words are then compared one after another.  ``score`` is the largest
     containment found, 1 with a phrase and 0 without anything.
 
     A null or empty text has no words, labels or places.  Null and repeated ids are rows like others.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import textkit as K
 from loomtext.llm.components import components
-from loomtext.llm.licenses import PHRASES, scan_licenses
+from loomtext.llm.licenses import PHRASES, LicenseConfig, scan_licenses
 from loomtext.llm.linededup import LineDedupConfig, dedup_lines
 from loomtext.llm.minhash import MinHashConfig, near_duplicates, superminhash
 from loomtext.llm.mixing import MixConfig, mix_sources, take_copies
@@ -244,6 +244,41 @@ def test_licenses_equal_brute_force(spark):
     assert got[3].labels == "all-rights-reserved" and got[4].labels == "" and got[4].score == 0 and got[8].labels == "mit" and 0.8 <= got[8].score < 1
 
 
+def test_wrapped_licenses_are_found(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the"
+    bsd = "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    far = "Permission is hereby granted, free of charge, to any person obtaining a copy" + "\nz" * 30 + " of this software and associated documentation files"
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, [mit, bsd, far, f"{bsd} {mit}", "All rights\nreserved.\nAll rights reserved."])).collect()}
+    assert [got[i].labels for i in range(5)] == ["mit", "bsd", "", "bsd,mit", "all-rights-reserved"]
+    assert [got[i].score for i in range(5)] == [1, 1, 0, 1, 1] and got[1].matches[0].line == 1 and [m.line for m in got[4].matches] == [0, 2]
+
+
+def test_blocks_equal_brute_force(spark):
+    rng = random.Random(5)
+    templates = (("a b c d e f g h i j k l m n", "one"), ("a b c b o p q r s t u v w x", "two"))
+    vocabulary = [*"abcdefghijklmnopqrstuvwx", "0", "1"]
+    texts = []
+    for _ in range(400):
+        w = [x if rng.random() < 0.85 else rng.choice(vocabulary) for x in rng.choice(templates)[0].split()]
+        for _ in range(rng.randrange(5)):
+            w.insert(rng.randrange(len(w)), rng.choice(vocabulary))
+        texts.append("".join(x + rng.choice(" \n") for x in w))
+    cfg = LicenseConfig(phrases=(("0 1 0 1", "none"),), templates=templates)
+    got = {r.doc_id: {templates[m.template][1]: 0 for m in r.matches} | {"score": 0 if r.base_labels else r.score} for r in scan_licenses(docs(spark, texts), cfg).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        w, want, score = t.split(), set(), 0
+        for text, label in templates:
+            tokens = set(text.split())
+            best = max(len(tokens & set(w[a : a + 18])) for a in range(len(w)))
+            if 100 * best >= 80 * len(tokens):
+                want.add(label)
+                score = max(score, best / len(tokens))
+        hits += len(want)
+        assert set(got[i]) - {"score"} == want and (got[i]["score"] in (0, score))
+    assert 100 < hits < 390
+
+
 def test_odd_tables(spark):
     rows = docs(spark, ODD)
     for make in (near_duplicates, mix_sources, dedup_lines, scan_licenses):
