@@ -26,6 +26,11 @@ TEMPLATES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("all rights reserved", "all-rights-reserved"),
 )
+# Words that tell a license from others; a block must hold those of them that the template has.
+MARKS = {
+    "mit": "mit permission hereby granted files", "apache-2": "apache 2", "gpl-3": "gnu general 3", "bsd": "redistribution binary", "mpl-2": "mozilla 2",
+    "cc-by-nc": "cc by nc", "cc-by": "creative commons attribution", "all-rights-reserved": "all rights reserved",
+}
 
 
 @dataclass(frozen=True)
@@ -33,11 +38,15 @@ class LicenseConfig:
     """A block contains a template when it holds ``threshold_percent`` of its distinct tokens.
 
     Blocks are all windows of so many consecutive words as the template has, over that share; lines don't matter.
+    A block must also hold those of its label's ``marks`` that are in the template; without any, a template of fewer
+    than ``whole_below`` distinct tokens must be held whole.
     """
 
     phrases: tuple[tuple[str, str], ...] = tuple(PHRASES.items())
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     threshold_percent: int = 80
+    marks: tuple[tuple[str, str], ...] = tuple(MARKS.items())
+    whole_below: int = 12
 
 
 def _vocabulary(cfg: LicenseConfig) -> np.ndarray:
@@ -77,7 +86,9 @@ class _Join:
     def __post_init__(self) -> None:
         number = lambda text: np.searchsorted(self.vocabulary, K.hash_words([text], K.ALNUM)[0])
         self.sets = [np.unique(self.rank[number(t)]) for t, _ in self.cfg.templates]
-        self.need = [-(-len(s) * self.cfg.threshold_percent // 100) for s in self.sets]
+        self.marks = [np.flatnonzero(np.isin(s, self.rank[_known(K.hash_words([dict(self.cfg.marks).get(label, "")], K.ALNUM)[0], self.vocabulary)[1]])).tolist() for s, (_, label) in zip(self.sets, self.cfg.templates, strict=True)]
+        share = [self.cfg.threshold_percent if m or len(s) >= self.cfg.whole_below else 100 for s, m in zip(self.sets, self.marks, strict=True)]
+        self.need = [-(-len(s) * x // 100) for s, x in zip(self.sets, share, strict=True)]
         self.width = [-(-len(number(t)) * 100 // self.cfg.threshold_percent) for t, _ in self.cfg.templates]
         # A phrase is a template to be contained whole: its prefix is its rarest token.
         self.sought = [(number(p), label) for p, label in self.cfg.phrases]
@@ -119,7 +130,7 @@ class _Join:
 
     def _within(self, t: int, word: list[int], place: list[int]) -> list[tuple[int, float]]:
         """The blocks in a stretch of one row, given by the template's tokens there."""
-        need, width, size = self.need[t], self.width[t], len(self.sets[t])
+        need, width, size, marks = self.need[t], self.width[t], len(self.sets[t]), self.marks[t]
         out: list[list] = []
         count: dict[int, int] = {}
         r = 0
@@ -128,7 +139,7 @@ class _Join:
                 count[place[r]] = count.get(place[r], 0) + 1
                 r += 1
             common = len(count)
-            if common >= need:
+            if common >= need and all(m in count for m in marks):
                 seen: set[int] = set()
                 k = j
                 while len(seen) < common:
@@ -213,7 +224,7 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig | None = None, id_col:
     templates' tokens.  A block, of consecutive words across line ends, can only contain enough of a template if it
     holds a token of the template's prefix, and around it enough known tokens that are not rarer; blocks that
     pass these prefix, length and positional filters are verified on the full sets.  So every block with at least
-    the threshold's share of a template's distinct tokens is found; of blocks that overlap, the best is a match,
+    the threshold's share of a template's distinct tokens, and all that tell its license from others, is found; of blocks that overlap, the best is a match,
     at the line where it begins.  A phrase is joined by its rarest token over the whole
     text, lines disregarded too, and its words are then compared one after another.  ``score`` is the largest
     containment found, 1 with a phrase and 0 without anything.

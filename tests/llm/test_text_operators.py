@@ -253,6 +253,19 @@ def test_wrapped_licenses_are_found(spark):
     assert [got[i].score for i in range(5)] == [1, 1, 0, 1, 1] and got[1].matches[0].line == 1 and [m.line for m in got[4].matches] == [0, 2]
 
 
+def test_other_licenses_have_no_label(spark):
+    other = [
+        "Released under the Apache License", "released under the BSD License", "Licensed under the GNU General Public License, version 2.0", "This work is licensed under the GNU General Public License version 2",
+        "Released on Monday. Under the bridge " + "and so on " * 20 + "the license of mit", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ]
+    own = {"Released under MIT License": "mit", "Licensed under Apache License, Version 2.0": "apache-2", "This work is licensed under GNU General Public License, version 3": "gpl-3", "Licensed under CC BY-NC 4.0": "cc-by-nc"}
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, [*other, *own])).collect()}
+    assert [got[i].labels for i in range(len(got))] == [""] * len(other) + list(own.values())
+    assert all(got[i].score == 0 for i in range(len(other)))
+    cfg = LicenseConfig(templates=(("shared by the makers of it", "mine"),))
+    assert [r.labels for r in scan_licenses(docs(spark, ["shared by the makers of", "of it, shared by the makers"]), cfg).orderBy("doc_id").collect()] == ["", "mine"]
+
+
 def test_blocks_equal_brute_force(spark):
     rng = random.Random(5)
     templates = (("a b c d e f g h i j k l m n", "one"), ("a b c b o p q r s t u v w x", "two"))
