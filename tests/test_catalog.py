@@ -1,6 +1,7 @@
 """Every core query against its SQL, on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -39,3 +40,19 @@ def test_query(spark, con, name):
         names = [d[0] for d in rel.description]
         assert sorted(names) == sorted(df.columns)
         assert rows(df.columns, got) == rows(names, rel.fetchall())
+
+
+def test_code_share_keeps_documents_with_code(spark, tmp_path):
+    long = "x = 1\n" * 20
+    texts = ["plain", "", None, f"a ```py\n{long}``` b <PRE>{long}</PRE>", f"[code]{long}[/code] ```short```", f"```\n{long}", f"<pre>{long} ```py\n{long}```</pre>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_blocks, r.code_ratio) for r in catalog.QUERIES["code_share"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        rest, sizes = t or "", []
+        for pattern in (r"(?s)```[a-zA-Z0-9]*\n(.*?)```", r"(?is)<pre>(.*?)</pre>", r"(?is)\[code\](.*?)\[/code\]"):
+            sizes += [n for x in re.findall(pattern, rest) if (n := len(x.strip())) >= 50]
+            rest = re.sub(pattern, "", rest)
+        want[i] = (len(sizes), sum(sizes) / len(t) if t else 0.0)
+    assert got.keys() == want.keys() and any(n for n, _ in got.values())
+    assert all(got[i][0] == n and got[i][1] == pytest.approx(share) for i, (n, share) in want.items())
