@@ -116,8 +116,9 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon, cfg: Toxicity
     masked = masked & (np.isin(mh, insults) | (_found(mh, lexicon.words, lexicon.word_weights) > 0))
     hostile = insult | (word > 0) | (begin > 0)
     close = np.concatenate([[0], np.cumsum(hostile)])
-    around = close[np.minimum(np.arange(len(h)) + cfg.near + 1, len(h))] - close[np.maximum(np.arange(len(h)) - cfg.near, 0)]
-    same = (row[np.minimum(np.arange(len(h)) + cfg.near, max(len(h) - 1, 0))] == row) if len(h) else np.zeros(0, bool)
+    # The words around end with the document's own first and last word.
+    begins, ends = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), side="right")
+    around = close[np.minimum(np.arange(len(h)) + cfg.near + 1, ends[row])] - close[np.maximum(np.arange(len(h)) - cfg.near, begins[row])]
     running = lambda lut: np.concatenate([[0], np.cumsum(lut[data])])
     inside = lambda lut: (lambda c: c[offs[1:]] - c[offs[:-1]])(running(lut))
     upper, digit, alpha = running(_UPPER), running(_DIGIT), running(_ALPHA)
@@ -134,7 +135,7 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon, cfg: Toxicity
     columns = (
         total(insult) / per, total(insult), total(word > 0) / per, total(word > 0), strongest, total(begin > 0) / per, total(begin > 0), strongest_start,
         np.bincount(mrow, weights=masked, minlength=n) / per if n else np.zeros(0),
-        total(second) / per, total(second & (around > 0) & same) / per, (upper[offs[1:]] - upper[offs[:-1]]) / letters,
+        total(second) / per, total(second & (around > 0)) / per, (upper[offs[1:]] - upper[offs[:-1]]) / letters,
         total((upper[e] - upper[s] == length) & (length > 2)) / per, inside(_PUNCT) / size, inside(_BANG) / size, inside(_MARK) / size,
         total((digit[e] > digit[s]) & (alpha[e] > alpha[s])) / per, total(length == 1) / per, (repeats[offs[1:]] - repeats[np.minimum(offs[:-1] + 2, offs[1:])]) / size,
         np.log1p(total(np.ones(len(h)))), total(length) / per,

@@ -5,10 +5,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loomtext.llm import textkit as K
 from loomtext.llm.ann import AnnConfig, nearest_neighbours
 from loomtext.llm.chat import ChatConfig, canonical_json, format_chats
 from loomtext.llm.embeddings import EmbeddingConfig, _bounded, embedding_near_duplicates, quantise
-from loomtext.llm.toxicity import ToxicityConfig, crc_fold, fit_toxicity, fit_trees, isotonic, score_toxicity
+from loomtext.llm.toxicity import FEATURES, INSULTS, Lexicon, ToxicityConfig, crc_fold, features, fit_toxicity, fit_trees, isotonic, score_toxicity
 
 DATA = "/root/testdata/sf0.01"
 KIND = "vec_id long, embedding array<float>, label int, id long, score double"
@@ -105,6 +106,15 @@ def test_toxicity_without_labels(spark):
     assert score_toxicity(docs, fit_toxicity(docs, none)).first().score == 0.0 and score_toxicity(docs.limit(0), fit_toxicity(docs.limit(0), none)).count() == 0
 
 
+def test_features_are_of_one_document_alone():
+    bad = INSULTS[0]
+    texts = [f"you {bad}", f"a b c {bad}", "you a b c d e f g", f"{bad} a b c d e f g you", "", f"a b c you d {bad}", "you", bad]
+    of = lambda some: features(*K.flat(pa.array(some, pa.string())), Lexicon(), ToxicityConfig())
+    together = of(texts)
+    assert np.array_equal(together, np.concatenate([of([t]) for t in texts])) and np.array_equal(together[::-1], of(texts[::-1]))
+    assert (together[:, FEATURES.index("second_person_near")] > 0).tolist() == [True, False, False, False, False, True, False, False]
+
+
 def test_chats(spark):
     call = lambda i, name, args: {"id": i, "name": name, "arguments": args}
     calls = json.dumps({"tool_calls": [call("b", "add", '{"y": {"$ref": "a"}, "x": 1}'), call("a", "get", '{"key":"k"}'), call("c", "get", '{"other":1}'), call("l", "get", '{"key":{"$ref":"l"}}')]})
