@@ -6,12 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import TEXT_ROWS_PER_BATCH
-
 #: Rows of 8-byte ids that are broadcast at most, after they have been counted.
 BROADCAST_IDS = 400_000
 
@@ -20,11 +19,17 @@ _TABLES: dict[str, list[str]] = {}
 
 
 def _root(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir, which all executors share."""
+    """A folder of this application in spark.checkpoint.dir, which all executors share.
+
+    Only a session of one machine may leave that setting out; its folder is then a temporary one.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = os.path.join(tempfile.gettempdir(), "loomtext-tables")
         _ROOTS[app] = f"{base.rstrip('/')}/loomtext-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(drop_tables, spark, _ROOTS[app])
@@ -72,13 +77,16 @@ def trimmed(result: DataFrame, since: int = 0) -> DataFrame:
     return result
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds the rows of text that a Python worker is handed at once."""
-    conf = df.sparkSession.conf
-    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > TEXT_ROWS_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    return df
+def free(df: DataFrame | Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it, upper and lower case alike."""
+    taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:

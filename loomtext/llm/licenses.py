@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import small_batches
 
 # Phrases whose words stand consecutively, and openings of license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -233,7 +232,7 @@ def scan_licenses(docs: DataFrame, config: LicenseConfig | None = None, id_col:
     An empty table gives an empty result; other columns are ignored.
     """
     cfg = config or LicenseConfig()
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     vocabulary = _vocabulary(cfg)
     counted = rows.select("text").mapInArrow(_count(vocabulary), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(len(vocabulary), np.int64)

@@ -8,23 +8,27 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import BROADCAST_IDS, mark, small_batches, trimmed, written
+from .cluster import BROADCAST_IDS, free, mark, trimmed, written
+
+
+#: Line numbers that are broadcast at most, after they have been counted.
+BROADCAST_RANGES = 2_000_000
 
 
 @dataclass(frozen=True)
 class LineDedupConfig:
     """A run of lines counts as repeated from ``min_words`` words on.
 
-    With ``whole_runs`` each repeated run goes as a whole, to its last equal line; without, only those of
+    With ``whole_runs`` each repeated run goes as a whole, from its first to its last equal line; without, only those of
     its lines go that are in a window from a line with words to the first line by which it has ``min_words``.
     """
 
     min_words: int = 50
-    whole_runs: bool = False
+    whole_runs: bool = True
 
 
 def _range_minimum(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -123,50 +127,47 @@ def repeated_runs(docs: DataFrame, config: LineDedupConfig | None = None, id_col
     Documents without repeated runs, or with a null id, are not in the result.
     """
     cfg = config or LineDedupConfig()
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     prints = written(rows.mapInArrow(_fingerprints(cfg), "id long, line int, print long, first array<int>, last array<int>, content array<long>"), "prints")
     shared = written(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "shared-prints")
     live = prints.join(shared, "print", "left_semi").select("id", F.explode(F.arrays_zip("content", "first", "last")).alias("w")).select("id", "w.*")
     live = written(live, "windows")
     earliest = live.groupBy("content").agg(F.min(F.struct("id", "first")).alias("origin"), F.max(F.struct("id", "first")).alias("end")).where("origin <> end").select("content", "origin")
     later = live.join(written(earliest, "origins"), "content").where(F.struct("id", "first") != F.col("origin"))
-    # Windows that overlap or touch are one run.
-    spans = later.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    joined = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["last"], x["last"]).alias("last")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    merged = spans.select("id", joined.alias("runs"))
-    return merged.select(
-        "id", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["last"]))).alias("ranges"),
-        F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1).alias("n_removed"),
-    )
-
-
-def dedup_lines(docs: DataFrame, config: LineDedupConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without later repeats of line runs: their columns, the text shortened, and ``n_removed`` and ``removed`` (ranges of line numbers).
+    # Windows that overlap or touch extend each other, both ways, to the whole run.
+    order = Window.partitionBy("id").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("first") <= reach + 1, 0).otherwise(1)
+    marked = later.select("id", "first", "last", begins.alias("begins"))
+    runs = marked.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).cast("int").alias("n_removed"))
+    return merged.select("id", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["last"]))).alias("ranges"), "n_removed")
+
+
+def dedup_lines(docs: DataFrame, config: LineDedupConfig | None = None, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str] = ("n_removed", "removed")) -> DataFrame:
+    """The documents without later repeats of line runs: their columns, the text shortened, and as the ``added`` ones the number of removed lines and their ranges.
 
     Lines are what LF separates, compared as they are.  From every line with words, a window takes lines
     until it has ``min_words`` words; the smallest line hash of a window is its fingerprint, so any
     run of that many words that stands in two places has a fingerprint in common.  Positions of shared fingerprints
-    are joined, and the windows there are compared by all their lines.  The first occurrence by (id, line) stays,
-    later ones go, within a document too.  The lines after a run's last full window stay unless ``whole_runs``
-    is set: then every line goes that is in a run of ``min_words`` words or more that also stands earlier.
+    are joined, and the windows there are compared by all their lines.  Matches extend both ways through the windows that overlap
+    them, so that no two positions are ever paired: the first occurrence by (id, line) stays, and every line goes that is
+    in a run of ``min_words`` words or more that also stands earlier, within a document too.  Repeats of fewer words stay.
+    Without ``whole_runs``, the lines after a run's last full window stay.
 
     A null or empty text, and a row with a null id, pass unchanged and match nothing.  Rows that repeat an
     id count as one place, so neither deletes the other.  A text all of whose lines go becomes empty.
-    An empty table gives an empty result; columns of these names are replaced.
+    An empty table gives an empty result; columns named as the ``added`` ones are replaced, others may have any name.
     """
     since = mark(docs.sparkSession)
-    found = written(repeated_runs(docs, config, id_col, text_col), "runs").select(F.col("id").alias("_id"), "ranges", F.col("n_removed").alias("_gone"))
-    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and (found.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= 8 * BROADCAST_IDS:
+    rest = docs.drop(*added)
+    key, cut, gone, short = free([*rest.columns, *added], "_id", "_ranges", "_gone", "_short")
+    found = written(repeated_runs(docs, config, id_col, text_col), "runs").select(F.col("id").alias(key), F.col("ranges").alias(cut), F.col("n_removed").alias(gone))
+    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS and (found.agg(F.sum(F.size(cut))).first()[0] or 0) <= BROADCAST_RANGES:
         found = F.broadcast(found)
-    joined = docs.drop("n_removed", "removed").join(found, F.col(id_col).cast("long") == F.col("_id"), "left")
-    cut = F.pandas_udf(_without_lines, "string")
-    shorter = cut(F.when(F.col("ranges").isNotNull(), F.col(text_col)), F.col("ranges"))
-    plain = [F.coalesce("_short", text_col).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_removed", "removed")]
-    return trimmed(joined.withColumn("_short", shorter).select(*plain, F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("ranges", F.expr("cast(array() as array<int>)")).alias("removed")), since)
+    joined = rest.join(found, F.col(id_col).cast("long") == F.col(key), "left")
+    shorter = F.pandas_udf(_without_lines, "string")(F.when(F.col(cut).isNotNull(), F.col(text_col)), F.col(cut))
+    plain = [F.coalesce(short, text_col).alias(text_col) if c == text_col else F.col(c) for c in rest.columns]
+    told = [F.coalesce(gone, F.lit(0)).cast("long").alias(added[0]), F.coalesce(cut, F.expr("cast(array() as array<int>)")).alias(added[1])]
+    return trimmed(joined.withColumn(short, shorter).select(*plain, *told), since)

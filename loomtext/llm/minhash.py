@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import by_ids, mark, small_batches, trimmed, written
+from .cluster import by_ids, mark, trimmed, written
 from .components import components
 
 
@@ -26,6 +26,7 @@ class MinHashConfig:
     rows: int = 4
     leader_turns: int = 2
     counters: int = 1 << 18
+    odd_bits: int = 1024
     seed: int = 11
 
     @property
@@ -178,21 +179,31 @@ def _counted(cfg: MinHashConfig):
     return run
 
 
+def odd_sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i tells whether an odd number of elements hash to i.
+
+    An element that only one of two sets has flips one bit, so the sketches differ in at most as many bits as there
+    are such elements: a bound without any chance of error.
+    """
+    at = (K.mix(elements ^ K._M2) % K.U64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _prefixes(cfg: MinHashConfig, frequency: np.ndarray):
-    """The rarest shingles of each set, so many that a linked set must have one of them among its own."""
+    """The rarest shingles of each set, so many that a linked set must have one of them among its own, and its odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, shingles, places = [], [], []
-            for i, x in zip(b.column("id").to_pylist(), b.column("elements"), strict=True):
+            first, odd, size = [], [], [0]
+            for x in b.column("elements"):
                 u = np.frombuffer(x.as_buffer(), np.uint64)
                 order = np.lexsort((u, frequency[_slots(u, cfg)]))
-                first = u[order[: len(u) - -(-len(u) * cfg.threshold_percent // 100) + 1]]
-                ids.append(np.full(len(first), i, np.int64))
-                shingles.append(first)
-                places.append(np.arange(len(first)))
-            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            yield pa.record_batch([pa.array(flat(ids, np.int64)), _signed(flat(shingles, np.uint64)), pa.array(flat(places, np.int64))], names=["id", "bucket", "place"])
+                first.append(u[order[: len(u) - -(-len(u) * cfg.threshold_percent // 100) + 1]])
+                odd.append(odd_sketch(u, cfg.odd_bits))
+                size.append(size[-1] + len(first[-1]))
+            flat = lambda parts: _signed(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
+            lists = [pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat(first)), pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (cfg.odd_bits // 64)), flat(odd))]
+            yield pa.record_batch([b.column("id"), *lists], names=["id", "first", "odd"])
 
     return run
 
@@ -205,9 +216,10 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     the smallest id goes on.  Every band bucket first pairs its members with its smallest id, then those not yet
     joined with two more members, which settles large groups by few pairs.  Last, all documents of
     buckets that still hold several components are paired if they share a shingle of their prefixes, the rarest
-    ones of a set, of which any linked set must have one among its own, early enough in both.  So no group is paired whole,
-    and no link is lost.  Pairs whose one-bit sketches or set sizes rule a link out are left.  Every
-    pair is confirmed on the full sets, recomputed from the text, before it counts.
+    ones of a set, of which any linked set must have one among its own, early enough in both.  No link is lost by
+    that.  Pairs whose set sizes, one-bit sketches or odd sketches rule a link out are left where they meet, before they are written: the
+    odd sketch bounds the elements that only one of two sets has, which tells texts of one template just under the threshold
+    apart.  Every pair left is confirmed on the full sets, recomputed from the text, before it counts.
 
     A null or empty text, or one without words, has an empty set and links with nothing.  Rows that
     share an id are one node.  A null id links with nothing: component null, kept true.
@@ -215,7 +227,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     """
     cfg = config or MinHashConfig()
     since = mark(docs.sparkSession)
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = written(source.mapInArrow(_profiles(cfg, 1), "id long, n_shingles long, h1 long, h2 long, sketch array<long>, bands array<long>"), "profiles")
     classes = (
         profiles.where("n_shingles > 0 and id is not null")
@@ -228,10 +240,10 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     shared = written(shared, "shared")
     traits = classes.select("id", "n", "sketch")
     live = written(entries.join(shared, "bucket", "left_semi").join(traits, "id"), "live")
-    sets = written(small_batches(by_ids(source, live.select("id"), "id", "left_semi")).mapInArrow(_sets(cfg), "id long, elements binary"), "sets")
-    apart = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(-(-cfg.permutations // 64))), F.lit(0))
+    sets = written(by_ids(source, live.select("id"), "id", "left_semi").mapInArrow(_sets(cfg), "id long, elements binary"), "sets")
+    apart = lambda x, y, bits: sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(-(-bits // 64))), F.lit(0))
     t = cfg.threshold_percent
-    possible = (F.col("k1") != F.col("k2")) & (F.col("n1") * 100 >= F.col("n2") * t) & (F.col("n2") * 100 >= F.col("n1") * t) & (apart("s1", "s2") <= cfg.sketch_limit)
+    possible = (F.col("k1") != F.col("k2")) & (F.col("n1") * 100 >= F.col("n2") * t) & (F.col("n2") * 100 >= F.col("n1") * t) & (apart("s1", "s2", cfg.permutations) <= cfg.sketch_limit)
 
     def placed_in(links: DataFrame | None) -> DataFrame:
         if links is None:
@@ -262,13 +274,14 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig | None = None, id_col
     frequency = np.zeros(cfg.counters, np.int64)
     for slot, n in open_sets.mapInArrow(_counted(cfg), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
         frequency[slot] = n
-    prefixes = open_sets.mapInArrow(_prefixes(cfg, frequency), "id long, bucket long, place long").join(rest, "id")
-    prefixes = written(prefixes, "prefixes")
+    prefixes = open_sets.mapInArrow(_prefixes(cfg, frequency), "id long, first array<long>, odd array<long>")
+    prefixes = written(prefixes.select("id", "odd", F.posexplode("first").alias("place", "bucket")).join(rest, "id"), "prefixes")
     # What two linked sets have in common is so much that their first common shingle stands early in both.
     early = lambda i: (F.col(f"n{i}") - F.col(f"p{i}")) * (100 + t) >= (F.col("n1") + F.col("n2")) * t
-    one = side(prefixes, 1, F.col("place").alias("p1")).alias("l")
-    two = side(prefixes, 2, F.col("place").alias("p2")).alias("r")
-    across = one.join(two, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("id1") < F.col("id2")) & early(1) & early(2) & possible)
+    one = side(prefixes, 1, F.col("place").alias("p1"), F.col("odd").alias("o1")).alias("l")
+    two = side(prefixes, 2, F.col("place").alias("p2"), F.col("odd").alias("o2")).alias("r")
+    apart_sets = apart("o1", "o2", cfg.odd_bits) * (100 + t) <= (F.col("n1") + F.col("n2")) * (100 - t)
+    across = one.join(two, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("id1") < F.col("id2")) & early(1) & early(2) & possible & apart_sets)
     links = links.union(confirm(across, "across"))
     member = profiles.where("n_shingles > 0 and id is not null").join(classes.select(F.col("n").alias("n_shingles"), "h1", "h2", F.col("id").alias("node")), ["n_shingles", "h1", "h2"]).select("id", "n_shingles", "node")
     member = written(member, "members")

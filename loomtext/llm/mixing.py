@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import mark, trimmed, written
+from .cluster import free, mark, trimmed, written
 
 #: Sources whose targets are broadcast at most, after they have been counted.
 BROADCAST_SOURCES = 50_000
@@ -71,13 +72,19 @@ def source_targets(sizes: DataFrame, cfg: MixConfig) -> DataFrame:
 
 
 def _round_group(seed: int, last: bool):
-    """Sequential pivotal rounding of one group: at most one item stays fractional, unless ``last`` settles it too."""
+    """Sequential pivotal rounding of one group: at most one item stays fractional, unless ``last`` settles it too.
 
-    def run(items: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((items["id"].fillna(-1).to_numpy(), items["key"].to_numpy(), -items["size"].to_numpy()))
-        size = items["size"].to_numpy(dtype=float)[order]
-        part = items["part"].to_numpy(dtype=float)[order]
-        draw = (K.mix(items["key"].to_numpy(dtype=np.int64)[order].view(np.uint64) ^ K.U64(seed * 977 + 13)) >> K.U64(11)).astype(float) * 2.0**-53
+    Items stay in Arrow, where a long column with nulls keeps all its digits.
+    """
+
+    def run(items: pa.Table) -> pa.Table:
+        items = items.combine_chunks()
+        of = lambda name: items.column(name).to_numpy()
+        named = pc.is_valid(items.column("id")).to_numpy()
+        ids = pc.fill_null(items.column("id"), 0).to_numpy()
+        order = np.lexsort((ids, named, of("key"), -of("size")))
+        size, part = of("size").astype(float)[order], of("part").astype(float)[order]
+        draw = (K.mix(of("key").astype(np.int64)[order].view(np.uint64) ^ K.U64(seed * 977 + 13)) >> K.U64(11)).astype(float) * 2.0**-53
         held = -1
         for i in range(len(part)):
             if not 0.0 < part[i] < 1.0:
@@ -97,9 +104,8 @@ def _round_group(seed: int, last: bool):
             held = next((j for j in (held, i) if 0.0 < part[j] < 1.0), -1)
         if last and held >= 0:
             part[held] = float(draw[held] < part[held])
-        out = items.iloc[order].copy()
-        out["part"] = part
-        return out
+        out = items.take(pa.array(order))
+        return out.set_column(out.schema.get_field_index("part"), "part", pa.array(part))
 
     return run
 
@@ -140,7 +146,7 @@ def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str =
     open_items = placed
     while True:
         last = leaves <= 1
-        done = written(open_items.groupBy("rank", "bucket").applyInPandas(_round_group(cfg.seed + level, last), _ITEM), f"level{level}")
+        done = written(open_items.groupBy("rank", "bucket").applyInArrow(_round_group(cfg.seed + level, last), _ITEM), f"level{level}")
         settled.append(done.where("part = 0 or part = 1"))
         if last:
             break
@@ -156,11 +162,11 @@ def mix_sources(docs: DataFrame, config: MixConfig | None = None, id_col: str =
 
 
 def take_copies(docs: DataFrame, config: MixConfig | None = None) -> DataFrame:
-    """The documents themselves, each as often as ``mix_sources`` takes it, with their own columns."""
+    """The documents themselves, each as often as ``mix_sources`` takes it, with their own columns, whatever their names."""
     since = mark(docs.sparkSession)
-    chosen = mix_sources(docs, config)
-    chosen = written(chosen.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "copies").distinct().withColumnRenamed("copies", "_n"), "copies")
+    i, s, n, turn = free(docs, "_i", "_s", "_n", "_copy")
+    chosen = mix_sources(docs, config).where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies").alias(n)).distinct()
+    chosen = written(chosen, "copies")
     # Texts are shuffled at every size and hash the small side, so they aren't sorted.
-    joined = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    return trimmed(joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).drop("_copy"), since)
-
+    joined = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(s)))
+    return trimmed(joined.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias(turn)).drop(turn), since)

@@ -69,8 +69,8 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents W
 lines AS (SELECT doc_id, ls, i, ls[i + 1] AS line, len(regexp_extract_all(ls[i + 1], '{_WORD}')) AS w FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM split)),
 summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM lines),
 windows AS (
-  SELECT x.doc_id, x.i AS a, y.i AS b, array_to_string(x.ls[x.i + 1:y.i + 1], chr(10)) AS content FROM summed x JOIN summed y
-  ON x.doc_id = y.doc_id AND x.w > 0 AND y.i >= x.i AND y.c >= x.c - x.w + 50 AND y.c - y.w < x.c - x.w + 50
+  SELECT x.doc_id, x.i AS a, y.i AS b, array_to_string(x.ls[x.i + 1:y.i + 1], chr(10)) AS content FROM summed x JOIN summed y ON x.doc_id = y.doc_id AND y.i >= x.i
+  WHERE y.c - x.c + x.w >= 50 AND (y.c - y.w - x.c + x.w < 50 OR y.c - x.c < 50)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM windows),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE k > 1),
 islands AS (SELECT doc_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone) GROUP BY doc_id, island),

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import small_batches
 
 
 @dataclass(frozen=True)
@@ -173,5 +172,5 @@ def pack(docs: DataFrame, config: PackConfig | None = None, id_col: str = "doc_i
     as they come.  An empty table gives no pieces; other columns are ignored.
     """
     cfg = config or PackConfig()
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pack(cfg), _PIECE).withColumnRenamed("doc_id", id_col)

@@ -43,24 +43,48 @@ BASE_KINDS = ("assign", "access", "hex")
 _SPAN = "struct<start:int,place:int,end:int,kind:string>"
 
 
+#: Matches whose positions are summed up in one go; the sums of such blocks are then summed up themselves.
+_BLOCK = 128
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, though ``use`` names it inside other lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _matches(text: Column, rule: Rule, place: int) -> Column:
-    """Spans of a rule's matches, in code points: the texts between matches tell where each starts."""
+    """Spans of a rule's matches, in code points: the texts between matches tell where each starts.
+
+    Each block of matches is summed up on its own, and then the blocks' sums, so that no growing array
+    is copied once for every match.
+    """
     # Short runs fail anyway, and dropping them in the pattern keeps a long text's arrays short.
     pattern = rule.pattern if rule.group or rule.least <= 1 else rule.pattern[:-1] + "{%d,}" % (rule.least - len(rule.pattern.partition("[")[0]))
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
     pieces = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("found"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def span(begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), (begin + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(
-            (begin + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(F.coalesce(x["kept"], F.lit(False)), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
-        )
+        after = begin + F.coalesce(x["size"], F.lit(0))
+        return F.struct(after.alias("at"), F.when(F.coalesce(x["kept"], F.lit(False)), F.concat(acc["found"], F.array(span(begin, after)))).otherwise(acc["found"]).alias("found"))
+
+    def blocks(all_pieces: Column) -> Column:
+        last = F.size(all_pieces) - 1
+        of = lambda b: F.sequence(b * _BLOCK, F.least(b * _BLOCK + _BLOCK - 1, last))
+        return F.transform(F.sequence(F.lit(0), F.floor(last / _BLOCK).cast("int")), lambda b: F.aggregate(of(b), start, lambda acc, i: step(acc, F.get(all_pieces, i))))
+
+    def moved(all_blocks: Column) -> Column:
+        begins = F.aggregate(all_blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        shifted = lambda b, by: F.when(by == 0, b["found"]).otherwise(F.transform(b["found"], lambda x: span(x["start"] + by, x["end"] + by)))
+        return F.flatten(F.zip_with(all_blocks, F.slice(begins, 1, F.size(all_blocks)), shifted))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    return _let(_let(pieces, blocks), moved)
 
 
 def blob_id(text: Column) -> Column:

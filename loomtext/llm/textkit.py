@@ -18,8 +18,6 @@ U64 = np.uint64
 BLOCK = 1 << 19
 #: Bytes of text of one slice of a batch.
 SLICE_BYTES = 1 << 20
-#: Rows of text in one Arrow batch handed to a Python worker.
-TEXT_ROWS_PER_BATCH = 256
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .cluster import small_batches, written
+from .cluster import written
 
 # A general lexicon of insults, and second-person words of four languages.
 INSULTS = "idiot moron stupid loser pathetic scum worthless trash clown disgusting dumb fool jerk filthy vermin garbage imbecile dimwit hate kill shut ugly liar coward freak creep".split()
@@ -280,7 +280,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | No
     chosen = known.orderBy(F.xxhash64(F.lit(cfg.seed), "doc_id"), "doc_id").limit(cfg.sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(cfg.seed + 1), "doc_id"), F.lit(10)))
-    sample = small_batches(written(sample, "labelled"))
+    sample = written(sample, "labelled")
     teach = sample.where("part < 5")
     n1, n0 = (x or 0 for x in teach.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     lexicon = Lexicon()
@@ -314,7 +314,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     Repeated rows score alike, and an empty table stays empty.
     """
     rest = [c for c in docs.columns if c != score_col]
-    kept = small_batches(docs).select(*[F.col(c) for c in rest])
+    kept = docs.select(*[F.col(c) for c in rest])
     i = rest.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

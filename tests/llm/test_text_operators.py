@@ -11,7 +11,7 @@ from loomtext.llm import textkit as K
 from loomtext.llm.components import components
 from loomtext.llm.licenses import PHRASES, LicenseConfig, scan_licenses
 from loomtext.llm.linededup import LineDedupConfig, dedup_lines
-from loomtext.llm.minhash import MinHashConfig, near_duplicates, superminhash
+from loomtext.llm.minhash import MinHashConfig, near_duplicates, odd_sketch, superminhash
 from loomtext.llm.mixing import MixConfig, mix_sources, take_copies
 from loomtext.llm.packing import balanced_windows, karmarkar_karp, pack
 from loomtext.llm.secrets import RULES, scan_versions, span_text
@@ -170,7 +170,7 @@ def test_line_dedup_equals_brute_force(spark):
         s = rng.randrange(40)
         rows.append((i, "\n".join(rng.choice(lines) if rng.random() < 0.2 else x for x in lines[s : s + rng.randrange(1, 20)])))
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "\n".join(["same words here"] * 40)), (None, "\n".join(lines))]
-    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows), LineDedupConfig(min_words=12)).collect()}
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows), LineDedupConfig(min_words=12, whole_runs=False)).collect()}
     want = brute_lines(rows, 12)
     assert {i: got[i].text for i in want} == want and got[None].text == "\n".join(lines)
     assert any(r.n_removed for r in got.values()) and len(got) == len(rows)
@@ -292,6 +292,63 @@ def test_blocks_equal_brute_force(spark):
     assert 100 < hits < 390
 
 
+def test_templates_below_the_threshold_are_not_paired(spark, monkeypatch):
+    from loomtext.llm import minhash
+
+    pairs = {}
+    monkeypatch.setattr(minhash, "written", lambda df, name, write=minhash.written: pairs.__setitem__(name, (out := write(df, name)).count()) or out)
+    for n in (150, 300, 600):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(200)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for place in rng.sample(range(200), 9):
+                w[place] = f"n{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        got = near_duplicates(docs(spark, texts), MinHashConfig(shingle_words=2)).collect()
+        want = brute_groups(list(enumerate(texts)), 2) if n == 150 else None
+        assert want is None or all(r.component_id == want[r.doc_id] for r in got)
+        assert pairs["rest"] > 0.9 * n and pairs["across"] <= 2 * n
+
+
+def test_odd_sketches_bound_differences():
+    rng = np.random.default_rng(7)
+    for n, m in ((10, 3), (300, 80), (5000, 400)):
+        common = rng.integers(0, 2**63, n, dtype=np.uint64)
+        one, two = (np.concatenate([common, rng.integers(0, 2**63, m, dtype=np.uint64)]) for _ in range(2))
+        apart = int(np.bitwise_count(odd_sketch(one, 1024) ^ odd_sketch(two, 1024)).sum())
+        assert apart <= 2 * m and odd_sketch(one, 1024).tolist() == odd_sketch(one[::-1], 1024).tolist()
+        assert apart > m or m > 300
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(8)
+    text = " ".join(f"{rng.getrandbits(160):040x}" if i % 3 else "é password=short" for i in range(60_000))
+    spans = scan_versions(docs(spark, [text]))[0].first().spans
+    want = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-f]{32,}", text)]
+    assert [(x.start, x.end) for x in spans if x.kind == "hex"] == want and len(want) == 40_000
+
+
+def test_mixing_keeps_large_and_null_ids(spark):
+    rows = [(2**62 + i, "a b c " * (i % 7)) for i in range(300)] + [(None, "x y z"), (-(2**62) - 1, "q")]
+    frame = docs(spark, rows, ["a", None, "b"] * 101)
+    got = {r.doc_id: r for r in mix_sources(frame, MixConfig(leaf_rows=20, fan_in=2)).collect()}
+    assert set(got) == {i for i, _ in rows} and all(got[i].size == len(words(t)) for i, t in rows)
+    taken = {}
+    for r in take_copies(frame, MixConfig(leaf_rows=20, fan_in=2)).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+    assert taken == {i: r.copies for i, r in got.items() if r.copies}
+
+
+def test_mixing_targets_by_hand(spark):
+    rows = [(i, "w " * 10) for i in range(60)]
+    frame = docs(spark, rows, [["c", None, "a", "b"][0 if i < 30 else 1 + i % 3] for i in range(60)])
+    got = {r.source: (r.source_size, r.target) for r in mix_sources(frame).collect()}
+    # Weights: a 3, b 1, c 2, null 3; 900 words to share, a and null stop at 200, and of the other 500 c gets 2/3 and b 1/3.
+    assert got == {"a": (100, 200.0), None: (100, 200.0), "b": (100, pytest.approx(500 / 3)), "c": (300, pytest.approx(1000 / 3))}
+
+
 def test_odd_tables(spark):
     rows = docs(spark, ODD)
     for make in (near_duplicates, mix_sources, dedup_lines, scan_licenses):
