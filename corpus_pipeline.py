@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.cluster import by_ids, trimmed, written
-from loomtext.llm.linededup import LineDedupConfig, dedup_lines
+from loomtext.llm.cluster import BROADCAST_IDS, by_ids, free, trimmed, written
+from loomtext.llm.linededup import dedup_lines
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import take_copies
 from loomtext.llm.packing import pack
@@ -23,29 +23,42 @@ from loomtext.session import ship
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go.  Only labels outside the held-out fold are learnt from."""
     trimmed(docs)
+    (score,) = free(docs, "_score")
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(crc_fold(F.col("doc_id")) != 0))
-    return score_toxicity(docs, model, score_col="_score").where("_score < 0.5").select(*docs.columns)
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words or more are cut out whole; a document of nothing else goes."""
     trimmed(docs)
-    done = dedup_lines(docs, LineDedupConfig(whole_runs=True)).where("not (n_removed > 0 and text = '')")
-    size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    gone, ranges = free(docs, "_gone", "_ranges")
+    done = dedup_lines(docs, added=(gone, ranges)).where((F.col(gone) == 0) | F.col("text").isNull() | (F.col("text") != ""))
+    size = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", size.cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (shingles of five words, similarity of 0.8 or more) the smallest id stays, once."""
+    """Of each near-duplicate group (shingles of five words, similarity of 0.8 or more) the smallest id stays.
+
+    Rows that repeat an id, or have none, are told apart by a 64-bit hash of id and text, so that unlike texts of one id
+    are judged each on its own; of rows that repeat both, one stays.
+    """
     trimmed(docs)
-    groups = written(near_duplicates(docs), "groups")
-    counts = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    counts = written(counts.where("not kept or n > 1"), "dropped")
-    rest = by_ids(docs, counts.select("doc_id"), "doc_id", "left_anti")
-    repeated = by_ids(docs, counts.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return rest.where("doc_id is not null").unionByName(repeated).unionByName(nameless).select(*docs.columns)
+    key, same = free(docs, "_key", "_same")
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias(same)), "repeated-ids")
+    if repeated.isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    else:
+        few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        marked = (F.broadcast(repeated) if few else repeated).withColumn(key, F.lit(True))
+        joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col(same)), "left")
+        keyed = joined.withColumn(same, F.coalesce(key, F.lit(False))).withColumn(key, F.when(F.col(same), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    groups = written(near_duplicates(keyed, id_col=key), "groups")
+    kept = by_ids(keyed, groups.where("not kept"), key, "left_anti")
+    if same in keyed.columns:
+        kept = kept.where(~F.col(same)).unionByName(kept.where(same).dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
