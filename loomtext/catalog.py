@@ -15,7 +15,6 @@ from .functions import pii, quality, tokens
 from .functions import text as T
 from .functions import url as U
 from .operators import dedup, diff, formats, frontier, generators, merge, pairs, stats
-from .plans import finetune as finetune_plan
 from .plans import ingest, postprocess
 from .sources import html, readers, writers
 
@@ -116,9 +115,9 @@ def quality_vs_labels(spark, sf_dir):
     return judged.groupBy("quality", F.col("reason").isNull().alias("passed")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, 0 AS n_blocks, 0.0::DOUBLE AS code_ratio FROM documents WHERE NOT regexp_matches(text, '(?is)```|<pre>|\\[code\\]')")
+@query()
 def code_share(spark, sf_dir):
-    """All documents.  The SQL has only those without code, which are all of the given tables; code is tested against plain Python."""
+    """Blocks of the documents as they are, which the given tables have none of: tested against plain Python, and with SQL as ``code_blocks_of_all_kinds``."""
     return _docs(spark, sf_dir).select("doc_id", F.size(quality.code_blocks("text")).alias("n_blocks"), quality.code_ratio("text").alias("code_ratio"))
 
 
@@ -187,15 +186,17 @@ def dedup_flags(spark, sf_dir):
 
 @query(r"""WITH base AS (SELECT conv_id, turn, string_split_regex(trim(lower(text)), '\s+') AS w, trim(lower(text)) AS t FROM conversations),
 sh AS (SELECT conv_id, turn, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [t] END) AS s FROM base)
-SELECT conv_id, turn, array_to_string(list_transform(range(0, 16), lambda i: list_min(list_transform(s, lambda x: sha1(i || ':' || x)))), ',') AS signature FROM sh""")
+SELECT conv_id, turn, array_to_string(list_transform(range(0, 16), lambda i: list_min(list_transform(s, lambda x: sha1(i || ':' || x)))), ',') AS signature FROM sh""".replace("range(0, 16)", "range(0, 128)"))
 def minhash_signature_sha1(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(dedup.sha1_signature("text", 16), ",").alias("signature"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(dedup.sha1_signature("text"), ",").alias("signature"))
 
 
 @query()
 def semantic_dedup_prompts(spark, sf_dir):
-    """First-wins over a similarity graph: not for SQL; a sequential scan is the test."""
-    return dedup.similar_to_earlier(_pairs(spark, sf_dir), "prompt", 0.7, 32).select("ordinal", "keeper", F.round("similarity", 6).alias("similarity"))
+    """First-wins over a similarity graph: not for SQL; a sequential scan is the test.  Every prompt stands again, with a word more."""
+    rows = _pairs(spark, sf_dir).select("ordinal", "prompt")
+    rows = rows.union(rows.select(F.col("ordinal") + 1_000_000, F.concat("prompt", F.lit(" indeed"))))
+    return dedup.similar_to_earlier(rows, "prompt", 0.85, 128).select("ordinal", "keeper", F.round("similarity", 6).alias("similarity"))
 
 
 # URLs and pages
@@ -211,10 +212,15 @@ def canonical_urls(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", U.canonical_url("url").alias("canonical_url"))
 
 
-@query(f"WITH {_PARTS} SELECT page_id, first_url FROM (SELECT page_id, first_value(url) OVER (PARTITION BY canonical_url ORDER BY page_id) AS first_url, min(page_id) OVER (PARTITION BY canonical_url) AS f FROM canon) WHERE page_id > f")
+_TWICE_PARTS = _PARTS.replace("FROM pages)", "FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again#x' FROM pages))")
+
+
+@query(f"WITH {_TWICE_PARTS} SELECT page_id, first_url FROM (SELECT page_id, first_value(url) OVER (PARTITION BY canonical_url ORDER BY page_id) AS first_url, min(page_id) OVER (PARTITION BY canonical_url) AS f FROM canon) WHERE page_id > f")
 def url_dedup(spark, sf_dir):
+    """Every page again, under a URL that is the same only in its canonical form."""
     rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), F.col("url").alias("source_url"))
-    return dedup.url_duplicates(rows).withColumnRenamed("ordinal", "page_id")
+    again = F.concat(F.regexp_replace("source_url", "#.*$", ""), F.when(F.col("source_url").contains("?"), "&").otherwise("?"), F.lit("utm_source=again#x"))
+    return dedup.url_duplicates(rows.union(rows.select(F.col("ordinal") + 1_000_000, again))).withColumnRenamed("ordinal", "page_id")
 
 
 @query(r"SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
@@ -304,22 +310,6 @@ def token_limit_filter(spark, sf_dir):
     return _pairs(spark, sf_dir).select("ordinal", F.coalesce(tokens.token_limit_reason(), F.lit("ok")).alias("reason"))
 
 
-def _dedup_query(mode: str, keep: str, name: str, key: str) -> None:
-    pick = "min" if keep == "first" else "max"
-
-    def run(spark, sf_dir):
-        return pairs.dedup_pairs(_pairs(spark, sf_dir).drop("conversation"), mode, keep).select("ordinal", "task_type")
-
-    run.__name__ = name
-    query(f"WITH {CONV_PAIRS} SELECT ordinal, task_type FROM pairs WHERE ordinal IN (SELECT {pick}(ordinal) FROM pairs GROUP BY {key})")(run)
-
-
-_dedup_query("prompt+completion", "first", "pair_dedup_full", "prompt || '|@@@|' || completion")
-_dedup_query("prompt", "first", "pair_dedup_prompt", "prompt")
-_dedup_query("completion", "last", "pair_dedup_completion_last", "completion")
-_dedup_query("prompt_normalized", "first", "pair_dedup_normalized", r"lower(trim(regexp_replace(prompt, '\s+', ' ', 'g')))")
-
-
 @query(f"WITH {CONV_PAIRS}, r AS (SELECT ordinal, task_type, row_number() OVER (PARTITION BY task_type ORDER BY sha1('42|' || ordinal)) AS k FROM pairs) SELECT ordinal, task_type FROM r WHERE k <= 30")
 def balance_by_type(spark, sf_dir):
     return pairs.balance_by_type(_pairs(spark, sf_dir), 30).select("ordinal", "task_type")
@@ -352,22 +342,16 @@ _format_query("axolotl", _said(_FROM))
 _format_query("llama_factory", _said("x.role"))
 
 
-@query()
-def finetune_stage_counts(spark, sf_dir):
-    """Counts of every stage by type over conversations."""
-    return stats.stage_counts(finetune_plan.refine(_pairs(spark, sf_dir), finetune_plan.FinetuneConfig(max_per_type=100)))
-
-
 # Differences
 
 
 def _halves(spark, sf_dir):
     rows = _records(spark, sf_dir)
-    url = F.concat(F.lit("doc://"), (F.col("ordinal") % 699).cast("string"))
+    url = F.concat(F.lit("doc://"), F.floor(F.col("ordinal") / 2).cast("string"))
     return [rows.where(F.col("ordinal") % 2 == i).withColumn("source_url", url) for i in (0, 1)]
 
 
-_HALVES = """h AS (SELECT doc_id, doc_id % 2 AS half, 'doc://' || (doc_id % 699) AS source_url, sha1(text) AS content_sha1, length(text) AS chars FROM documents),
+_HALVES = """h AS (SELECT doc_id, doc_id % 2 AS half, 'doc://' || (doc_id // 2) AS source_url, sha1(text) AS content_sha1, length(text) AS chars FROM documents),
 keyed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY half, content_sha1 ORDER BY doc_id DESC) AS k FROM h) WHERE k = 1),
 byurl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY half, source_url ORDER BY doc_id DESC) AS u FROM keyed) WHERE u = 1)"""
 _ADDED = "SELECT doc_id AS ordinal, content_sha1 FROM keyed WHERE half = 1 AND content_sha1 NOT IN (SELECT content_sha1 FROM keyed WHERE half = 0)"
@@ -429,9 +413,9 @@ def score_histogram(spark, sf_dir):
     return stats.histogram(postprocess.with_quality(_docs(spark, sf_dir), content="text"), F.col("quality_score"), 20, 0.0, 1.0)
 
 
-@query(f"WITH {CONV_PAIRS} SELECT task_type, count(*) AS n, round(avg(length(prompt)), 6) AS prompt_chars, round(avg(length(completion)), 6) AS completion_chars FROM pairs GROUP BY 1")
+@query(f"WITH {CONV_PAIRS} SELECT task_type, count(*) AS n, round(avg(length(prompt)), 6) AS prompt_chars, round(avg(length(completion)), 6) AS completion_chars, round(avg(CASE WHEN prompt = '' THEN 0 ELSE greatest(1, floor(length(prompt) / 4.0)) END), 6) AS prompt_tokens, round(avg(CASE WHEN completion = '' THEN 0 ELSE greatest(1, floor(length(completion) / 4.0)) END), 6) AS completion_tokens FROM pairs GROUP BY 1")
 def pair_report(spark, sf_dir):
-    return stats.pair_report(_pairs(spark, sf_dir)).select("task_type", "n", F.round("prompt_chars", 6).alias("prompt_chars"), F.round("completion_chars", 6).alias("completion_chars"))
+    return stats.pair_report(_pairs(spark, sf_dir)).select("task_type", "n", *[F.round(c, 6).alias(c) for c in ("prompt_chars", "completion_chars", "prompt_tokens", "completion_tokens")])
 
 
 @query("SELECT 'doc://' || doc_id AS url, doc_id AS ordinal FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")

@@ -9,9 +9,11 @@ from .text import col, let
 
 MARK = "[REDACTED]"
 # What each kind looks like.  Order matters: phones are taken before addresses and numbers of persons.
-EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-EMAIL_BRACKETED = r"(?iuU)\b([A-Za-z0-9._%+-]+)\s*(?:\[at\]|\(at\)|\{at\}|<at>|AT|@)\s*([A-Za-z0-9.-]+)\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|DOT|\.)\s*([A-Za-z]{2,})\b"
-EMAIL_SPELT = r"(?iuU)\b([A-Za-z0-9._%+-]{2,})\s+at\s+([A-Za-z0-9.-]{2,})\s+dot\s+([A-Za-z]{2,})\b"
+# The bar among the letters of a domain's end is part of the value.  Names of addresses have 64 characters at most and
+# domains 255, as mail allows; without a bound, time would grow with the square of a run such as a-a-a-a.
+EMAIL = r"(?U)\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Z|a-z]{2,}\b"
+EMAIL_BRACKETED = r"(?iuU)\b([A-Za-z0-9._%+-]{1,64})\s*(?:\[at\]|\(at\)|\{at\}|<at>|AT|@)\s*([A-Za-z0-9.-]{1,255})\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|DOT|\.)\s*([A-Za-z]{2,})\b"
+EMAIL_SPELT = r"(?iuU)\b([A-Za-z0-9._%+-]{2,64})\s+at\s+([A-Za-z0-9.-]{2,255})\s+dot\s+([A-Za-z]{2,})\b"
 PHONE_INTERNATIONAL = r"(?U)\+\d{1,3}[\s.-]?\(?\d{1,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?:[\s.-]?\d{1,4})?"
 PHONE_RUSSIAN = r"(?U)\b8[\s.-]?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2}\b"
 PHONE = r"(?U)\b(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
@@ -29,38 +31,58 @@ GITHUB_USER = r"(?iu)(github\.com/)(@)([A-Za-z0-9](?:[A-Za-z0-9-]{0,38}[A-Za-z0-
 GIT_SSH = r"(?iu)(git@)(github\.com)(:[A-Za-z0-9][A-Za-z0-9-]{0,38}/)"
 
 
-#: What stands in every match of a pattern.
-_SIGNS = {EMAIL: "@", PHONE_INTERNATIONAL: "+", SSN: "-"} | dict(zip(BARE_TOKENS, ("sk-", "ghp_", "github_pat_", "gho_", "ghu_", "ghr_", "xox", "AKIA", "eyJ"), strict=True))
+def _doubled(pattern: str) -> str:
+    """Assignments whose key holds its value, as in password=password, where both go."""
+    flags, _, rest = pattern.partition(")")
+    keys = rest.removeprefix("\\b(").partition("\\s*[:=]")[0]
+    return flags + r""")\b(?=""" + keys + r"""\s*[:=]\s*["']?([A-Za-z0-9_\-./+=]{8,}))([a-z_\-]*?)(?-i:\1)([a-z_\-]*\s*[:=]\s*["']?)(?-i:\1)"""
+
+
+KEY_IN_KEY = _doubled(KEY_VALUE)
+
+#: What stands in every match of a pattern: a text for some, for the others a pattern that is cheaper to look for.
+_SIGNS = {EMAIL: "@", SSN: "-", PHONE_INTERNATIONAL: "+"} | dict(zip(BARE_TOKENS, ("sk-", "ghp_", "github_pat_", "gho_", "ghu_", "ghr_", "xox", "AKIA", "eyJ"), strict=True))
+_SIGN_PATTERNS = {
+    EMAIL_BRACKETED: r"(?iuU)(?:at|@)[\])}>]?\s*[a-z0-9.-]{1,255}\s*[\[({<]?(?:dot|\.)[\])}>]?\s*[a-z]{2}", EMAIL_SPELT: r"(?iuU)\sdot\s", PHONE_RUSSIAN: r"\p{Nd}{3}", PHONE: r"\p{Nd}{3}",
+    IP: r"\p{Nd}\.\p{Nd}", KEY_IN_KEY: r"(?iu)(key|token|secret|passw|pwd)[a-z_-]*\s*[:=]", KEY_VALUE: r"(?iu)key|token|secret|passw|pwd", TOKEN_VALUE: r"(?iu)token", BEARER: r"(?iu)bearer",
+    GITHUB_USER: r"(?iu)github\.com/@", GIT_SSH: r"(?iu)git@github",
+}
 
 
 def _quoted(mark: str) -> str:
     return mark.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def _when_signed(pattern: str, to: str, sign: str):
-    return lambda x: F.when(x.contains(sign), F.regexp_replace(x, pattern, to)).otherwise(x)
+def signed(t: Column, pattern: str) -> Column:
+    """Whether a text has what a match needs; a text that hasn't can't match, and looking for it is far cheaper."""
+    return t.contains(_SIGNS[pattern]) if pattern in _SIGNS else t.rlike(_SIGN_PATTERNS[pattern])
 
 
-def remove_pii(c: Column | str, mark: str = MARK) -> Column:
-    """The text with addresses, phones, numbers and secrets replaced.  Values that are assigned to a key are replaced, their key stays."""
-    m = _quoted(mark)
+def steps(mark: str = MARK) -> list[tuple[str, str]]:
+    """The patterns in their order, with what takes a match's place."""
+    m, fixed = _quoted(mark), _quoted(MARK)
     three = f"$1 {m} $2 {m} $3"
-    t = col(c)
-    steps = [
+    return [
         (EMAIL, m), (EMAIL_BRACKETED, three), (EMAIL_SPELT, three), (PHONE_INTERNATIONAL, m), (PHONE_RUSSIAN, m), (PHONE, m), (IP, m), (SSN, m),
-        (KEY_VALUE, f"$1{_quoted(MARK)}$3"), (TOKEN_VALUE, f"$1{_quoted(MARK)}$3"), (BEARER, f"$1{_quoted(MARK)}"),
+        (KEY_IN_KEY, f"$2{fixed}$3{fixed}"), (KEY_VALUE, f"$1{fixed}$3"), (TOKEN_VALUE, f"$1{fixed}$3"), (BEARER, f"$1{fixed}"),
         *((p, m) for p in BARE_TOKENS), (GITHUB_USER, f"$1{m}"), (GIT_SSH, f"git{m}$2$3"),
     ]
-    for pattern, to in steps:
-        sign = _SIGNS.get(pattern)
-        if sign is None:
-            t = F.regexp_replace(t, pattern, to)
-        else:  # a text without the sign can't match, and looking for it is far cheaper
-            t = let(t, _when_signed(pattern, to, sign))
+
+
+def _when_signed(pattern: str, to: str):
+    return lambda x: F.when(signed(x, pattern), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+
+def remove_pii(c: Column | str, mark: str = MARK) -> Column:
+    """The text with addresses, phones, numbers and secrets replaced.  Values that are assigned to a key are replaced, their key stays
+    unless it holds the value itself."""
+    t = col(c)
+    for pattern, to in steps(mark):
+        t = let(t, _when_signed(pattern, to))
     return t
 
 
-_KINDS = {
+KINDS = {
     "email": (EMAIL, EMAIL_BRACKETED, EMAIL_SPELT), "phone": (PHONE_INTERNATIONAL, PHONE_RUSSIAN, PHONE), "ip": (IP,), "ssn": (SSN,),
     "api_key_or_token": (KEY_VALUE, TOKEN_VALUE, BEARER), "bare_token": BARE_TOKENS, "github_cred_url": (GITHUB_USER, GIT_SSH),
 }
@@ -68,18 +90,19 @@ _KINDS = {
 
 def has_pii(c: Column | str, kind: str) -> Column:
     hit = F.lit(False)
-    for p in _KINDS[kind]:
-        hit = hit | F.coalesce(col(c), F.lit("")).rlike(p)
+    for p in KINDS[kind]:
+        t = F.coalesce(col(c), F.lit(""))
+        hit = hit | (signed(t, p) & t.rlike(p))
     return hit
 
 
 def detect_pii(c: Column | str) -> Column:
     """Map of the kinds present, each to 1."""
-    entries = [F.when(has_pii(c, k), F.struct(F.lit(k).alias("key"), F.lit(1).alias("value"))) for k in _KINDS]
+    entries = [F.when(has_pii(c, k), F.struct(F.lit(k).alias("key"), F.lit(1).alias("value"))) for k in KINDS]
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
-PII_KINDS = tuple(_KINDS)
+PIIKINDS = tuple(KINDS)
 
 
 def clean_pairs(df, mark: str = MARK, conversation: bool = True):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,15 +58,16 @@ def long_plain_ending(c: Column | str) -> Column:
 def is_spam(c: Column | str, keywords: tuple[str, ...] = TECHNICAL_KEYWORDS) -> Column:
     """Advertising, a page of URLs, or a long plain ending; never below 30 characters or with a technical keyword."""
     t = F.coalesce(col(c), F.lit(""))
-    low = F.lower(t)
-    technical = F.lit(False)
-    for k in keywords:
-        technical = technical | low.contains(k.lower())
-    hit = F.lit(False)
-    for p in SPAM_WORDS:
-        hit = hit | t.rlike("(?iU)" + p)
-    hit = hit | long_plain_ending(t) | t.rlike("(?iU)" + URL_RUN)
-    return (F.length(strip(t)) >= 30) & ~technical & hit
+    spoken = "(?iU)" + "|".join(f"(?:{p})" for p in SPAM_WORDS)
+
+    def judged(low: Column) -> Column:
+        technical = F.lit(False)
+        for k in keywords:
+            technical = technical | low.contains(k.lower())
+        return ~technical & (long_plain_ending(t) | (low.rlike("[а-я]") & t.rlike(spoken)) | (low.contains("http") & t.rlike("(?iU)" + URL_RUN)))
+
+    # The lower-cased text is made once for all keywords.
+    return (F.length(T.strip(t)) >= 30) & T.let(F.lower(t), judged)
 
 
 _FENCED = r"(?s)```([a-zA-Z0-9]*)\n(.*?)```"
@@ -87,7 +90,8 @@ def code_blocks(c: Column | str) -> Column:
     block = lambda lang, code: F.struct(lang.alias("language"), strip(code).alias("code"), F.length(strip(code)).alias("char_count"))
     fenced = F.zip_with(found(t, _FENCED, 1), found(t, _FENCED, 2), lambda a, b: block(F.when(a == "", "unknown").otherwise(F.lower(a)), b))
     plain = F.transform(F.concat(found(without, _PRE, 1), found(rest, _BRACKET, 1)), lambda x: block(F.lit("unknown"), x))
-    return F.filter(F.concat(fenced, plain), lambda b: b["char_count"] >= MIN_CODE)
+    marked = t.contains("```") | t.rlike(r"(?i)<pre>|\[code\]")
+    return F.when(marked, F.filter(F.concat(fenced, plain), lambda b: b["char_count"] >= MIN_CODE)).otherwise(F.expr("cast(array() as array<struct<language:string,code:string,char_count:int>>)"))
 
 
 def code_ratio(c: Column | str) -> Column:
@@ -146,10 +150,6 @@ def compute_perplexity(c: Column | str, score=None) -> Column:
     50 characters or without words."""
     if score is None:
         return F.lit(None).cast("double")
-    import re
-
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> float | None:
             found = re.findall(r"\w+", (t or "").lower())

@@ -8,8 +8,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as str.strip() sees it.
+#: White space as str.strip() sees it, as a class of patterns with Unicode classes, and its characters one by one.
 SPACE = r"[\s\x1c-\x1f]"
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Latin letters as patterns without regard to case find them, with the two that fold to them; Cyrillic ones by their block.
+LATIN = "".join(map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B), 0x130, 0x212A)))
+CYRILLIC = "".join(map(chr, range(0x400, 0x500)))
+RUSSIAN = "".join(map(chr, (0x401, *range(0x410, 0x450), 0x451)))
 
 
 def col(c: Column | str) -> Column:
@@ -22,7 +27,12 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def count_of(c: Column, characters: str) -> Column:
+    """How many of a text's characters are among the given ones."""
+    return F.length(c) - F.length(F.translate(c, characters, ""))
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -114,7 +124,7 @@ def blank_shingles(c: Column | str, k: int = 3) -> Column:
 def alpha_ratio(c: Column | str) -> Column:
     """Letters by characters, rounded to 3 digits; 0 for an empty text."""
     t = F.coalesce(col(c), F.lit(""))
-    return F.when(t == "", 0.0).otherwise(F.round(F.regexp_count(t, F.lit(r"\p{L}")) / F.length(t), 3))
+    return F.when(t == "", 0.0).otherwise(F.round(F.length(F.regexp_replace(t, r"\P{L}+", "")) / F.length(t), 3))
 
 
 def dup_line_ratio(c: Column | str) -> Column:
@@ -131,15 +141,17 @@ def char_count(c: Column | str) -> Column:
 def detect_language(c: Column | str) -> Column:
     """ru, en or mixed by the letters of the first 5000 characters; null without any."""
     sample = F.substring(F.coalesce(col(c), F.lit("")), 1, 5000)
-    cyr = F.regexp_count(sample, F.lit("[Ѐ-ӿ]"))
-    lat = F.regexp_count(sample, F.lit("[a-zA-ZİK]"))
-    return F.when(cyr > lat * 1.5, "ru").when(lat > cyr * 1.5, "en").when(cyr + lat == 0, F.lit(None).cast("string")).otherwise(F.when((cyr > 0) & (lat > 0), "mixed").when(cyr > lat, "ru").otherwise("en"))
+    def named(n: Column) -> Column:
+        cyr, lat = n["cyr"], n["lat"]
+        return F.when(cyr > lat * 1.5, "ru").when(lat > cyr * 1.5, "en").when(cyr + lat == 0, F.lit(None).cast("string")).otherwise(F.when((cyr > 0) & (lat > 0), "mixed").when(cyr > lat, "ru").otherwise("en"))
+
+    return let(F.struct(count_of(sample, CYRILLIC).alias("cyr"), count_of(sample, LATIN).alias("lat")), named)
 
 
 def detect_language_simple(c: Column | str) -> Column:
     """zh, ru or en by counts in the first 2000 characters, as token estimates need it."""
     sample = F.substring(F.coalesce(col(c), F.lit("")), 1, 2000)
-    return F.when(F.regexp_count(sample, F.lit("[一-鿿぀-ヿ가-힯]")) > 20, "zh").when(F.regexp_count(sample, F.lit("[А-Яа-яЁё]")) > 20, "ru").otherwise("en")
+    return F.when(F.regexp_count(sample, F.lit("[一-鿿぀-ヿ가-힯]")) > 20, "zh").when(count_of(sample, RUSSIAN) > 20, "ru").otherwise("en")
 
 
 def detect_language_model(c: Column | str, detector=None) -> Column:

@@ -102,7 +102,11 @@ def first_wins(entries: DataFrame) -> DataFrame:
     This is what a scan in order with an index of kept rows gives.  Each round keeps the rows that come first in
     all of their buckets and removes those that share one with them; a bucket's rows are never paired.
     """
-    removed, left = None, settled(entries.distinct())
+    # Buckets of one row decide nothing, and most are of one.
+    shared = entries.groupBy("bucket").agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).where("low < high").select("bucket")
+    removed, left = None, settled(entries.join(shared, "bucket", "left_semi").select("ordinal", "bucket").distinct())
+    if left.isEmpty():
+        return left.select("ordinal", F.col("ordinal").alias("keeper"))
     while True:
         low = left.groupBy("bucket").agg(F.min("ordinal").alias("low"))
         kept = left.join(low, "bucket").groupBy("ordinal").agg(F.every(F.col("ordinal") == F.col("low")).alias("first")).where("first").select("ordinal")

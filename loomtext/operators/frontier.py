@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import host, is_blocked_url, same_site
@@ -32,8 +32,6 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, depth: int = 2, max_urls:
             break
         found = found.union(front)
     if max_urls is not None:
-        from pyspark.sql import Window
-
         place = Window.partitionBy("seed").orderBy("depth", "url")
         found = found.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= max_urls).drop("_rank")
     return found
@@ -42,3 +40,29 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, depth: int = 2, max_urls:
 def seed_limit(depth: int) -> int:
     """URLs that a seed of a list may give, by its depth."""
     return min(max(50, 50 * depth), 1000)
+
+
+def crawl_depth_list(seeds: DataFrame, links: DataFrame, strip_fragment: bool = True) -> DataFrame:
+    """``url, seed, depth`` for a list of seeds (``url, depth, ordinal``), each followed as deep as it asks.
+
+    Every seed has a frontier of its own, on its own host, of at most ``max(50, 50 * depth)`` URLs and 1,000 by depth, then
+    name, besides the seed itself.  A URL that several seeds reach stays with the first of them.
+    """
+    bare = lambda c: F.regexp_replace(c, "#.*$", "") if strip_fragment else F.col(c)
+    edges = settled(links.select(bare("url").alias("from"), bare("link").alias("to")).distinct())
+    wanted = F.least(F.greatest(F.coalesce("depth", F.lit(0)), F.lit(0)), F.lit(1000))
+    start = seeds.groupBy(bare("url").alias("seed")).agg(F.min("ordinal").alias("ordinal"), F.max(wanted).alias("wanted"))
+    front = found = settled(start.select("seed", "ordinal", "wanted", F.col("seed").alias("url"), F.lit(0).alias("depth")))
+    while True:
+        open_ends = front.where("depth < wanted")
+        reached = open_ends.join(edges, open_ends["url"] == edges["from"]).where(host("to") == host("seed"))
+        fresh = reached.select("seed", "ordinal", "wanted", F.col("to").alias("url"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = settled(fresh.join(found.select("seed", "url"), ["seed", "url"], "left_anti").select(*found.columns))
+        if front.isEmpty():
+            break
+        found = found.union(front)
+    place = Window.partitionBy("seed").orderBy("depth", "url")
+    most = F.least(F.greatest(F.lit(50), F.col("wanted") * 50), F.lit(1000))
+    kept = found.withColumn("_rank", F.row_number().over(place) - 1).where((F.col("depth") == 0) | (F.col("_rank") <= most))
+    first = kept.groupBy("url").agg(F.min(F.struct("ordinal", "depth", "seed")).alias("f"))
+    return first.select("url", "f.seed", "f.depth")

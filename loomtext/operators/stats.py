@@ -62,6 +62,11 @@ def pair_report(pairs: DataFrame) -> DataFrame:
     )
 
 
+def report_sample(pairs: DataFrame, n: int = 500, seed: int = 42, key: str = "ordinal") -> DataFrame:
+    """The rows a report looks at: the first ``n`` in the order of a hash, which partitioning doesn't change."""
+    return pairs.orderBy(F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
+
+
 def language_shares(pairs: DataFrame, column: str = "completion") -> DataFrame:
     counted = pairs.groupBy(detect_language_simple(column).alias("language")).agg(F.count("*").alias("n"))
     return counted.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 1))

@@ -23,14 +23,22 @@ class PostprocessConfig:
 
 
 def with_quality(records: DataFrame, cfg: QualityConfig | None = None, content: str = "content") -> DataFrame:
-    """Adds ``metrics``, ``reason`` (null for a pass) and ``quality_score``."""
+    """Adds ``metrics``, ``reason`` (null for a pass) and ``quality_score``, in place of columns of these names.
+
+    A text is measured once, whatever is asked of the result: the columns come out of a generator, through which Catalyst
+    neither copies an expression nor pushes a filter that holds it.
+    """
     cfg = cfg or QualityConfig()
-    return records.withColumn("metrics", Q.metrics(content, cfg)).withColumn("reason", Q.reject_reason("metrics", cfg)).withColumn("quality_score", Q.quality_score("metrics", cfg))
+    rest = [c for c in records.columns if c not in ("metrics", "reason", "quality_score")]
+    measured = records.select(*rest, F.inline(F.array(F.struct(Q.metrics(content, cfg).alias("metrics")))))
+    return measured.withColumn("reason", Q.reject_reason("metrics", cfg)).withColumn("quality_score", Q.quality_score("metrics", cfg))
 
 
 def quality_filter(records: DataFrame, cfg: QualityConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Kept records with score, language and metrics, and counts of the rejected by reason; duplicates are skipped."""
-    rows = with_quality(records.where("not coalesce(is_duplicate, false)").withColumn("content", T.normalize_whitespace("content")), cfg)
+    once = F.explode(F.array(T.normalize_whitespace("content"))).alias("content")
+    fresh = records.where("not coalesce(is_duplicate, false)")
+    rows = with_quality(fresh.select(*[c for c in fresh.columns if c != "content"], once), cfg)
     kept = rows.where("reason is null").withColumn("language", F.coalesce("metrics.language", "language")).drop("reason")
     return kept, rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -8,11 +8,12 @@ import json
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.url import detect_source_type
+from ..operators.lineage import settled
 from ..schema import RECORDS
 
 
@@ -29,9 +30,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORDS, with_ordin
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFrame:
-    """The lines that aren't records."""
+    """The lines that aren't records; blank ones don't count."""
     full = T.StructType.fromDDL(schema).add("_bad", "string")
-    return spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path).select("_bad", "source_url").where("_bad is not null").select(F.col("_bad").alias("line"))
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).where("trim(value) <> ''").select("value", parsed["_bad"].alias("bad")).where("bad is not null").select(F.col("value").alias("line"))
 
 
 def read_any_jsonl(spark: SparkSession, path: str, schema: str = RECORDS) -> DataFrame:
@@ -84,7 +86,7 @@ def _http(url: Column) -> Column:
 
 
 def _labels(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -192,6 +194,31 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(path).select(F.trim("loc").alias("url")).where("url <> ''").distinct()
 
 
+def follow_sitemaps(index: DataFrame, bodies: DataFrame, pattern: str | None = None, max_urls: int | None = None, depth: int = 5) -> DataFrame:
+    """``url, site`` of the pages that sitemaps name, with those of the sitemaps that indexes name, however nested up to ``depth``.
+
+    ``index`` has the ``url`` of the sitemaps to begin with, which are the sites; ``bodies`` has ``url, body`` of those that were
+    fetched.  A page belongs to the site that comes first by name; ``max_urls`` keeps the first of each site by name.
+    """
+    entry = lambda tag: F.regexp_extract_all("body", F.lit(rf"(?s)<{tag}>\s*<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    read = settled(bodies.select("url", entry("sitemap").alias("maps"), entry("url").alias("pages")))
+    front = known = settled(index.select("url", F.col("url").alias("site")).distinct())
+    for _ in range(depth):
+        named = front.join(read, "url").select("site", F.explode("maps").alias("url")).select(plain(F.col("url")).alias("url"), "site").distinct()
+        front = settled(named.join(known, ["url", "site"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = known.union(front)
+    pages = known.join(read, "url").select("site", F.explode("pages").alias("page")).select(plain(F.col("page")).alias("url"), "site").where("url <> ''")
+    if pattern:
+        pages = pages.where(F.col("url").rlike(pattern))
+    pages = pages.groupBy("url").agg(F.min("site").alias("site"))
+    if max_urls is not None:
+        pages = pages.withColumn("_rank", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("_rank") <= max_urls).drop("_rank")
+    return pages
+
+
 # Configuration
 
 

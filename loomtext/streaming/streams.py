@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,11 +30,35 @@ def exact_dedup_stream(stream: DataFrame, content: str = "content", ts: str | No
     return hashed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
-def read_bands(spark, path: str) -> DataFrame | None:
-    """Band buckets of the records kept so far; null before the first batch."""
+#: How Spark names files that aren't what they should be (fixed values); any other error isn't the index's.
+BROKEN = ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
+def _folder(spark, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.schema("ordinal long, bucket long, batch long").parquet(path) if there else None
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_bands(spark, path: str) -> DataFrame | None:
+    """Band buckets of the records kept so far; null before the first batch.  An index that can't be read counts as empty."""
+    jvm_path, files = _folder(spark, path)
+    if not files.exists(jvm_path):
+        return None
+    known = spark.read.schema("ordinal long, bucket long, batch long").parquet(path)
+    try:
+        known.count()  # reads the footers of all files, and no rows
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(kind in str(e) for kind in BROKEN):
+            raise
+        warnings.warn(f"the index at {path} can't be read and counts as empty: {e}", stacklevel=2)
+        return None
+    return known
+
+
+def clear_bands(spark, path: str) -> None:
+    """Forget the records kept so far."""
+    jvm_path, files = _folder(spark, path)
+    files.delete(jvm_path, True)
 
 
 def dedup_batch(records: DataFrame, batch_id: int, bands_path: str, out_path: str, num_perm: int = 128, bands: int = 8, rows: int = 16) -> None:

@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from loomtext import catalog
+from loomtext import catalog, catalog_derived  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

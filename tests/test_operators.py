@@ -222,3 +222,19 @@ def test_exports(spark, tmp_path):
     writers.write_jsonl(df, str(tmp_path / "j"), gzip=True)
     assert readers.read_jsonl(spark, str(tmp_path / "j"), RECORDS).count() == 1
     assert T.SPACE
+
+
+def test_depth_lists_follow_each_seed_on_its_own(spark):
+    links = [("http://s/", "http://s/a"), ("http://s/a", "http://s/b"), ("http://s/b", "http://s/c"), ("http://s/", "http://other/"), ("http://t/", "http://t/a")] + [("http://m/", f"http://m/{i:03}") for i in range(80)]
+    seeds = spark.createDataFrame([("http://s/", 2, 0), ("http://s/b", 1, 1), ("http://t/", 0, 2), ("http://m/", 1, 3), ("http://t/", None, 4)], "url string, depth int, ordinal long")
+    got = {r.url: (r.seed, r.depth) for r in frontier.crawl_depth_list(seeds, spark.createDataFrame(links, "url string, link string")).collect()}
+    assert {u: got[u] for u in got if "/m/" not in u} == {"http://s/": ("http://s/", 0), "http://s/a": ("http://s/", 1), "http://s/b": ("http://s/", 2), "http://s/c": ("http://s/b", 1), "http://t/": ("http://t/", 0)}
+    assert sum("//m/" in u for u in got) == 51 and "http://m/049" in got and "http://m/050" not in got
+
+
+def test_sitemaps_are_followed_to_their_end(spark):
+    entry = lambda tag, *urls: "".join(f"<{tag}><loc>{u}</loc></{tag}>" for u in urls)
+    bodies = [("i", entry("sitemap", "i", "m1", "j")), ("j", entry("sitemap", "m2", "gone")), ("m1", entry("url", "p1", "p2&amp;x")), ("m2", entry("url", "p1", "p3"))]
+    frame = spark.createDataFrame(bodies, "url string, body string")
+    follow = lambda **k: sorted(r.url for r in readers.follow_sitemaps(spark.createDataFrame([("i",)], "url string"), frame, **k).collect())
+    assert follow() == ["p1", "p2&x", "p3"] and follow(depth=1) == ["p1", "p2&x"] and follow(max_urls=1) == ["p1"] and follow(pattern="3$") == ["p3"]

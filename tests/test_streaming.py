@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import dedup
@@ -36,3 +37,22 @@ def test_crawl_state(spark, tmp_path):
     q = streams.crawl_state(stream).writeStream.format("memory").queryName("state").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.url: r.status for r in spark.table("state").collect()} == {"a": "done", "b": "error"}
+
+
+def test_index_is_saved_cleared_and_survives_damage(spark, tmp_path):
+    rows = readers.documents_as_records(spark.read.parquet(f"{DATA}/documents.parquet")).select("ordinal", "source_url", "content", "status")
+    bands, out = str(tmp_path / "bands"), str(tmp_path / "out")
+    assert streams.read_bands(spark, bands) is None
+    streams.dedup_batch(rows, 0, bands, out)
+    kept = {r.ordinal for r in spark.read.parquet(out).select("ordinal").collect()}
+    assert {r.ordinal for r in streams.read_bands(spark, bands).select("ordinal").distinct().collect()} == kept
+    streams.dedup_batch(rows.withColumn("ordinal", F.col("ordinal") + 10_000), 1, bands, out)
+    assert spark.read.parquet(out).count() == len(kept)
+    for part in (tmp_path / "bands").rglob("*.parquet"):
+        part.write_bytes(b"damaged")
+    for crc in (tmp_path / "bands").rglob(".*.crc"):
+        crc.unlink()
+    with pytest.warns(UserWarning, match="counts as empty"):
+        assert streams.read_bands(spark, bands) is None
+    streams.clear_bands(spark, bands)
+    assert streams.read_bands(spark, bands) is None and not (tmp_path / "bands").exists()

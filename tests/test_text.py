@@ -82,3 +82,22 @@ def test_chunks(spark):
     fenced = "intro " * 200 + "\n\n```py\n" + "a\n\nb\n" * 50 + "```\n\n" + "end " * 300
     assert any("a\n\nb" in p and p.count("```") == 2 for p in chunking.split_text(fenced, 900, 0))
     assert values(spark, [text, None], lambda c: chunking.chunks(c, 1000, 100)) == [parts, None]
+
+
+def test_pii_of_long_runs_is_quick(spark):
+    import time
+
+    texts = ["a-" * 20_000, "at-" * 20_000 + ".", "x@" * 10_000, "8 " * 20_000, "password" * 5_000, "1.2.3" * 10_000]
+    began = time.monotonic()
+    got = values(spark, texts, pii.remove_pii)
+    assert time.monotonic() - began < 60 and got[0] == texts[0]
+
+
+def test_pii_takes_a_key_that_is_its_value(spark):
+    texts = ["password=password", "x Secret_Key = secret_key", "client_secret: client_s", "api_key=abcdefgh api_key", "token: tokentoken"]
+    assert values(spark, texts, pii.remove_pii) == ["[REDACTED]=[REDACTED]", "x Secret_Key = [REDACTED]", "[REDACTED]ecret: [REDACTED]", "api_key=[REDACTED] api_key", "token: [REDACTED]"]
+
+
+def test_strip_is_that_of_python(spark):
+    texts = [" a\u00a0", "\u2003\x1cb\x85\u3000", "\n\t", "", "c \u200b"]
+    assert values(spark, texts, T.strip) == [t.strip() for t in texts]
