@@ -60,6 +60,38 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
     return np.stack(out)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    square = (centroids**2).sum(axis=1)
+    return np.concatenate([np.argmin(square[None] - 2 * x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)])
+
+
+def rebalanced(x: np.ndarray, centroids: np.ndarray, seed: int, rounds: int = 12) -> np.ndarray:
+    """Centroids whose lists, by the nearest one, hold similar numbers of the sample.
+
+    Lists of more than twice the mean are halved where they stand, and those of less than an eighth of it go; copies of one
+    vector can't be told apart and stay together.
+    """
+    for r in range(rounds):
+        near = _nearest(x, centroids)
+        size = np.bincount(near, minlength=len(centroids))
+        mean = len(x) / len(centroids)
+        over, under = size > 2 * mean, size < mean / 8
+        parts, changed = [], False
+        for i, c in enumerate(centroids):
+            members = x[near == i] if over[i] else None
+            if over[i] and (members != members[0]).any():
+                parts.append(balanced_centroids(members, 2, seed + r))
+                changed = True
+            elif under[i] and len(centroids) > 1:
+                changed = True
+            else:
+                parts.append(c[None])
+        if not changed or not parts:
+            break
+        centroids = np.concatenate(parts)
+    return centroids
+
+
 @dataclass
 class Index:
     """Centroids with edges to their nearest ones; ``top`` is the largest squared length of a vector."""
@@ -124,11 +156,15 @@ def _matrix(values) -> np.ndarray:
 
 
 def fit_index(sample: np.ndarray, rows: int, top: float, cfg: AnnConfig) -> Index:
-    """Centroids, graph and distance ratio from a sample of a table of ``rows`` vectors."""
+    """Centroids, graph and distance ratio from a sample of a table of ``rows`` vectors.
+
+    Centroids are means of equal halves of equal halves, and lists that come out too long or too short by the nearest centroid are
+    halved or dropped, until they are balanced.
+    """
     index = Index(np.zeros((1, 1)), np.zeros((1, 1), int), top)
     x = index.lifted(sample)
     wanted = int(np.clip(-(-rows // cfg.list_rows), 1, min(cfg.max_lists, max(1, len(x) // 8))))
-    index.centroids = balanced_centroids(x, wanted, cfg.seed)
+    index.centroids = rebalanced(x, balanced_centroids(x, wanted, cfg.seed), cfg.seed)
     m = len(index.centroids)
     square = (index.centroids**2).sum(axis=1)
     apart = square[:, None] + square[None] - 2 * index.centroids @ index.centroids.T

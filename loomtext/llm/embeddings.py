@@ -22,8 +22,8 @@ class EmbeddingConfig:
     block: int = 2048
 
 
-#: Room for the rounding of 32-bit products of unit vectors, far above what it can reach.
-_SLACK = 2e-5
+#: Components whose int8 products add up below 2**24, so that 32-bit floats hold each such sum exactly.
+_EXACT = 2**24 // 127**2
 
 
 def squared_norm(vector: Column) -> Column:
@@ -50,33 +50,36 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _bounded(q: np.ndarray, scale: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The dequantised vectors, with columns added so that a product left by right is an upper bound of the cosine.
+def integer_products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The exact integer inner products of int8 rows: floats hold the sums of short enough runs of components, which doubles add up."""
+    out = None
+    for i in range(0, max(q.shape[1], 1), _EXACT):
+        part = q[:, i : i + _EXACT].astype(np.float32) @ r[:, i : i + _EXACT].astype(np.float32).T
+        out = part.astype(np.float64) if out is None else out + part
+    return out
+
+
+def cosine_bounds(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the cosines of rows given as int8 components, scale and length of the quantisation error.
 
     With u = q + e and v = r + f, u.v = q.r + q.f + e.r + e.f, and the last three are at most |q||f| + |e||r| + |e||f|.
+    Doubles round each of the d products and sums by 2**-53 of it at most, which widens the bounds by the dimension.
     """
-    z = q.astype(np.float32) * scale[:, None].astype(np.float32)
-    length = np.linalg.norm(q * scale[:, None], axis=1)
-    extra = lambda *c: np.concatenate([z, np.stack(c, axis=1).astype(np.float32)], axis=1)
-    return extra(length, error, error), extra(error, length, error)
+    (q, s, e), (r, t, f) = a, b
+    dot = lambda x: np.einsum("ij,ij->i", x, x, dtype=np.float64)
+    middle = integer_products(q, r) * s[:, None] * t[None]
+    width = np.multiply.outer(np.sqrt(dot(q)) * s, f) + np.multiply.outer(e, np.sqrt(dot(r)) * t + f)
+    width += (q.shape[1] + 16) * 2.0**-50
+    return middle - width, middle + width
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, qa: tuple, qb: tuple, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """For runs of rows of ``a``: the first row, and a matrix that tells which rows of ``b`` they are linked with."""
-    left, _ = _bounded(*qa)
-    _, right = _bounded(*qb)
-    d = a.shape[1]
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     for i in range(0, len(a), 512):
-        upper = left[i : i + 512] @ right.T
-        may = upper >= threshold - _SLACK
-        if not may.any():
-            yield i, may
-            continue
-        middle = left[i : i + 512, :d] @ right[:, :d].T
-        sure = 2 * middle - upper >= threshold + _SLACK
-        r, c = np.nonzero(may & ~sure)
-        links = may & sure
+        low, high = cosine_bounds(tuple(x[i : i + 512] for x in qa), qb)
+        links = low >= threshold
+        r, c = np.nonzero(~links & (high >= threshold))
         for k in range(0, len(r), 1 << 15):
             x, y = r[k : k + (1 << 15)], c[k : k + (1 << 15)]
             exact = np.einsum("ij,ij->i", a[i + x], b[y]) / (na[i + x] * nb[y])
@@ -149,8 +152,8 @@ def embedding_near_duplicates(vectors: DataFrame, config: EmbeddingConfig | None
     """One row per vector: id, ``n_links`` (other rows linked directly), ``component_id`` (smallest id reachable) and ``kept``.
 
     Equal vectors of a label are one class with a number of copies.  Classes of a label are dealt by hash into
-    blocks, and every two blocks meet in a tile: int8 products bound each cosine from both sides, by each vector's own
-    quantisation error.  Pairs surely above or below the threshold are settled by that; only the others are
+    blocks, and every two blocks meet in a tile: int8 products, summed as integers, bound each cosine from both sides, by each vector's own
+    quantisation error and the dimension.  Pairs surely above or below the threshold are settled by that; only the others are
     recomputed in double precision.  A tile gives counts and a spanning forest, never its pairs.
 
     Vectors that are null, zero, or hold a null or non-finite component, and rows with a null label or id, link

@@ -14,6 +14,43 @@ from . import textkit as K
 
 # Phrases whose words stand consecutively, and openings of license notices.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+# The bodies of short licenses and the notices of long ones, as they are published.
+FULL_TEXTS = (
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+        without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+        to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software.""",
+        "mit",
+    ),
+    (
+        """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution.""",
+        "bsd",
+    ),
+    (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies.""",
+        "isc",
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http www apache org licenses LICENSE 2 0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "apache-2",
+    ),
+    (
+        """This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+        the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        "gpl-3",
+    ),
+    (
+        """This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is
+        granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+        "zlib",
+    ),
+)
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -24,10 +61,14 @@ TEMPLATES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("all rights reserved", "all-rights-reserved"),
+    *(
+        (" ".join(words.lower().replace(",", " ").replace(".", " ").replace(";", " ").replace(":", " ").replace("(", " ").replace(")", " ").replace('"', " ").split()), label)
+        for words, label in FULL_TEXTS
+    ),
 )
 # Words that tell a license from others; a block must hold those of them that the template has.
 MARKS = {
-    "mit": "mit permission hereby granted files", "apache-2": "apache 2", "gpl-3": "gnu general 3", "bsd": "redistribution binary", "mpl-2": "mozilla 2",
+    "mit": "mit permission hereby granted files", "apache-2": "apache 2", "gpl-3": "gnu general 3", "bsd": "redistribution redistributions binary", "isc": "permission fee", "zlib": "authors damages alter freely", "mpl-2": "mozilla 2",
     "cc-by-nc": "cc by nc", "cc-by": "creative commons attribution", "all-rights-reserved": "all rights reserved",
 }
 

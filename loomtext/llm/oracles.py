@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES
 from .secrets import BASE_KINDS, RULES
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,4 +81,37 @@ SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN d.text ELSE coalesce(k.text, ''
 FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-SQL = {"op2_embedding_near_dedup": OP2, "op4_chat_format": OP4, "op5_minhash_near_dedup": OP5, "op6_secret_scan": OP6, "op8_line_dedup": OP8}
+MIX = f"""
+WITH per AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')))::BIGINT AS s FROM documents GROUP BY source),
+ranked AS (SELECT source, s, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM per),
+capped AS (SELECT *, row_number() OVER (ORDER BY 2 * s / w, source) AS k FROM ranked),
+levels AS (SELECT *, (1.5 * sum(s) OVER () - coalesce(sum(2 * s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
+chosen AS (SELECT arg_min(level, k) AS level FROM levels WHERE level * w <= 2 * s)
+SELECT source, s AS source_size, round(least(2 * s, w * coalesce((SELECT level FROM chosen), 1e300)), 6) AS target FROM ranked
+"""
+
+_PLACES = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM words, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in PHRASES.items())
+LICENSES = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS ({_PLACES}),
+told AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS low, max(i) - 1 AS high, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM places GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM words w LEFT JOIN told t ON t.doc_id = w.doc_id
+"""
+
+TOOLS = """
+WITH replies AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER v - 1 AS nth, min(turn) OVER (PARTITION BY conv_id) AS first, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE role = 'assistant' WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+calls AS (SELECT *, CASE WHEN conv_id % 3 = 1 AND turn > first THEN turn - 2 WHEN conv_id % 3 = 2 AND turn = first THEN turn + 2 END AS ref FROM replies),
+placed AS (SELECT *, ref > last AS lost, CASE WHEN conv_id % 3 = 2 AND ref <= last THEN ref ELSE turn END AS pos, CASE WHEN ref > last THEN 1073741824 WHEN conv_id % 3 = 1 THEN nth WHEN ref IS NOT NULL THEN 1 ELSE 0 END AS level FROM calls),
+lines AS (
+  SELECT conv_id, turn AS t, 0 AS level, '' AS call, 0 AS after, -1 AS own, role, text, 'plain' AS what, false AS bad, to_json({'content': text, 'role': role})::VARCHAR AS json FROM conversations WHERE role <> 'assistant'
+  UNION ALL SELECT conv_id, turn, 0, '', 0, -1, 'assistant', 'I see.', 'plain', false, '{"content":"I see.","role":"assistant"}' FROM replies
+  UNION ALL SELECT conv_id, pos, level, 'c' || turn, 0, -1, 'assistant', '', CASE WHEN lost THEN 'unordered' ELSE 'call' END, conv_id % 2 = 1,
+    to_json({'arguments': '{"n":' || n || coalesce(',"on":{"$ref":"c' || ref || '"}', '') || ',"z":"é"}', 'id': 'c' || turn, 'name': CASE WHEN conv_id % 2 = 0 THEN 'say' ELSE 'shout' END, 'role': 'assistant'})::VARCHAR FROM placed
+  UNION ALL SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN turn ELSE pos END, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE level END, CASE WHEN conv_id % 5 = 0 THEN '' ELSE 'c' || turn END, 1, turn, 'tool', 'r' || turn, CASE WHEN conv_id % 5 = 0 THEN 'orphan' ELSE 'linked' END, false,
+    to_json({'content': 'r' || turn, 'role': 'tool', 'tool_call_id': CASE WHEN conv_id % 5 = 0 THEN 'x' ELSE 'c' END || turn})::VARCHAR FROM placed
+)
+SELECT conv_id, count(*) AS n_messages, count(*) FILTER (WHERE what IN ('call', 'unordered')) AS n_calls, count(*) FILTER (WHERE what = 'linked') AS n_linked, count(*) FILTER (WHERE what = 'orphan') AS n_orphans,
+  count(*) FILTER (WHERE what = 'unordered') AS n_unordered, count(*) FILTER (WHERE bad) AS n_invalid, '[' || string_agg(json, ',' ORDER BY t, level, call, after, own, role, text) || ']' AS chat FROM lines GROUP BY conv_id
+"""
+
+SQL = {"mix_targets": MIX, "license_places": LICENSES, "chat_tool_calls": TOOLS, "op2_embedding_near_dedup": OP2, "op4_chat_format": OP4, "op5_minhash_near_dedup": OP5, "op6_secret_scan": OP6, "op8_line_dedup": OP8}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import textkit as K
 from loomtext.llm.components import components
-from loomtext.llm.licenses import PHRASES, LicenseConfig, scan_licenses
+from loomtext.llm.licenses import FULL_TEXTS, PHRASES, LicenseConfig, scan_licenses
 from loomtext.llm.linededup import LineDedupConfig, dedup_lines
 from loomtext.llm.minhash import MinHashConfig, near_duplicates, odd_sketch, superminhash
 from loomtext.llm.mixing import MixConfig, mix_sources, take_copies
@@ -253,6 +253,19 @@ def test_wrapped_licenses_are_found(spark):
     assert [got[i].score for i in range(5)] == [1, 1, 0, 1, 1] and got[1].matches[0].line == 1 and [m.line for m in got[4].matches] == [0, 2]
 
 
+def test_full_licenses_are_found_wherever_lines_break(spark):
+    texts, want = [], []
+    for body, label in FULL_TEXTS:
+        w = body.split()
+        for width in (9, 14):
+            lines = [" ".join(w[i : i + width]) for i in range(0, len(w), width)]
+            texts.append("int x;\n * " + "\n * ".join(lines) + "\n*/")
+            want.append(label)
+    got = {r.doc_id: r for r in scan_licenses(docs(spark, texts)).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, label in enumerate(want))
+    assert all(set(got[i].labels.split(",")) <= {label, "mit"} for i, label in enumerate(want)) and {got[i].labels for i, x in enumerate(want) if x != "mit"} == set(want) - {"mit"}
+
+
 def test_other_licenses_have_no_label(spark):
     other = [
         "Released under the Apache License", "released under the BSD License", "Licensed under the GNU General Public License, version 2.0", "This work is licensed under the GNU General Public License version 2",
