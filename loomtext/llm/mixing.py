@@ -26,7 +26,7 @@ class MixConfig:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     total: float = 1.5
     most: float = 2.0
-    leaf_rows: int = 20_000
+    leaf_rows: int = 4096
     fan_in: int = 64
     seed: int = 5
 
