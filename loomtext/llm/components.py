@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mark, trimmed, written
+from .cluster import BROADCAST_IDS, mark, trimmed, written
 
 #: Links that one union-find holds at once; beyond it, a partition is contracted in runs.
 RUN = 1_000_000
@@ -46,25 +46,28 @@ def components(links: DataFrame) -> DataFrame:
 
     Each partition's links are first contracted by union-find.  Large-star and small-star rounds
     then connect every node to the smallest of its neighbours until only stars are left; each takes
-    minima with partial aggregation, so a hub with very many links doesn't meet in one task.
+    minima with partial aggregation, and joins them by broadcast while a count bounds them, and else by a join that Spark
+    splits where a hub is skewed.
     Null ends and loops are dropped; without links the result is empty.
     """
     since = mark(links.sparkSession)
     a, b = links.columns[:2]
     links = links.select(F.col(a).alias("hi"), F.col(b).alias("lo")).where("hi is not null and lo is not null and hi <> lo")
     stars = written(links.mapInArrow(_contract, "hi long, lo long"), "links")
-    before = None
+    before, edges = None, stars.count()
     while True:
+        # A node's minimum is a row; so many rows at most are sent to the links, whose hubs then need not meet in one task.
+        hint = F.broadcast if 2 * edges <= BROADCAST_IDS else lambda df: df
         both = stars.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(stars.select("lo", "hi"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
+        large = both.join(hint(least), "x").where("y > x and y <> m").select(F.col("y").alias("hi"), F.col("m").alias("lo"))
         large = large.union(least.where("x <> m").select("x", "m"))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", "m"))
+        small = large.join(hint(low), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", "m"))
         stars = written(small.distinct(), "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         trimmed(stars, since)
         if now == before:
             break
-        before = now
+        before, edges = now, now[0]
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(stars.select("lo", "lo").distinct())
