@@ -6,7 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 #: Rows of 8-byte ids that are broadcast at most, after they have been counted.
 BROADCAST_IDS = 400_000
 
+#: Bytes of one Arrow batch handed to a Python worker while a table is written; a task holds few batches at once.
+BATCH_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _ROOTS: dict[str, str] = {}
 _TABLES: dict[str, list[str]] = {}
 
@@ -48,12 +53,29 @@ def drop_tables(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_BYTES`` at most for what runs inside; the session's own bound, if smaller, holds, and comes back."""
+    conf = spark.conf
+    before = conf.get(_BATCH, None)
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) if before else 0
+    if 0 < own <= BATCH_BYTES:
+        yield
+        return
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a Parquet table in the shared folder and read back: lineage ends here,
     and a lost executor costs a reread and not the work before."""
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
