@@ -4,6 +4,9 @@ Toxic documents go, later repeats of line runs are deleted, one document of each
 stays, sources are mixed to their target weights, and what is left is packed into sequences.
 Each stage reads what its predecessor wrote and works on all of it.  It first removes the tables that earlier
 stages' results were read from, as those results are written by then.
+
+As a stage's result is written by who calls it, the pipeline bounds the Arrow batches of the session that it is given: it is
+an application, and the operators themselves leave the session as it is.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.cluster import BROADCAST_IDS, by_ids, free, trimmed, written
+from loomtext.llm.cluster import BATCH_BYTES, BROADCAST_IDS, by_ids, free, trimmed, written
 from loomtext.llm.linededup import dedup_lines
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import take_copies
@@ -20,9 +23,15 @@ from loomtext.llm.toxicity import crc_fold, fit_toxicity, score_toxicity
 from loomtext.session import ship
 
 
+def _begun(spark: SparkSession, docs: DataFrame) -> None:
+    """What every stage begins with: earlier tables go, and batches are bounded."""
+    trimmed(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go.  Only labels outside the held-out fold are learnt from."""
-    trimmed(docs)
+    _begun(spark, docs)
     (score,) = free(docs, "_score")
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(crc_fold(F.col("doc_id")) != 0))
@@ -31,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of 50 words or more are cut out whole; a document of nothing else goes."""
-    trimmed(docs)
+    _begun(spark, docs)
     gone, ranges = free(docs, "_gone", "_ranges")
     done = dedup_lines(docs, added=(gone, ranges)).where((F.col(gone) == 0) | F.col("text").isNull() | (F.col("text") != ""))
     size = F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -44,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id, or have none, are told apart by a 64-bit hash of id and text, so that unlike texts of one id
     are judged each on its own; of rows that repeat both, one stays.
     """
-    trimmed(docs)
+    _begun(spark, docs)
     key, same = free(docs, "_key", "_same")
     repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias(same)), "repeated-ids")
     if repeated.isEmpty():
@@ -63,13 +72,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks, words counted."""
-    trimmed(docs)
+    _begun(spark, docs)
     return take_copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens a sequence, with their ids."""
-    trimmed(docs)
+    _begun(spark, docs)
     return pack(docs)
 
 
