@@ -102,22 +102,20 @@ def first_wins(entries: DataFrame) -> DataFrame:
     This is what a scan in order with an index of kept rows gives.  Each round keeps the rows that come first in
     all of their buckets and removes those that share one with them; a bucket's rows are never paired.
     """
+    entries = settled(entries)
     # Buckets of one row decide nothing, and most are of one.
     shared = entries.groupBy("bucket").agg(F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).where("low < high").select("bucket")
-    removed, left = None, settled(entries.join(shared, "bucket", "left_semi").select("ordinal", "bucket").distinct())
-    if left.isEmpty():
-        return left.select("ordinal", F.col("ordinal").alias("keeper"))
-    while True:
-        low = left.groupBy("bucket").agg(F.min("ordinal").alias("low"))
-        kept = left.join(low, "bucket").groupBy("ordinal").agg(F.every(F.col("ordinal") == F.col("low")).alias("first")).where("first").select("ordinal")
-        kept = settled(kept)
-        taken = left.join(kept, "ordinal", "left_semi").select("bucket", F.col("ordinal").alias("keeper"))
-        out = left.join(taken, "bucket").where("ordinal <> keeper").groupBy("ordinal").agg(F.min("keeper").alias("keeper"))
-        out = settled(out)
+    removed, left = None, settled(entries.join(shared, "bucket", "left_semi").select("ordinal", "bucket"))
+    while not left.isEmpty():
+        at = left.join(left.groupBy("bucket").agg(F.min("ordinal").alias("low")), "bucket")
+        first = at.groupBy(F.col("ordinal").alias("low")).agg(F.every(F.col("ordinal") == F.col("low")).alias("first")).where("first")
+        # A row's keeper is itself, an earlier row that stays, or not known yet; its buckets are as many as there are bands.
+        judged = at.join(first, "low", "left").groupBy("ordinal").agg(F.min(F.when(F.col("first"), F.col("low"))).alias("keeper"), F.collect_set("bucket").alias("buckets"))
+        judged = settled(judged)
+        out = judged.where("keeper <> ordinal").select("ordinal", "keeper")
         removed = out if removed is None else removed.union(out)
-        left = settled(left.join(kept.union(out.select("ordinal")), "ordinal", "left_anti"))
-        if left.isEmpty():
-            return removed
+        left = judged.where("keeper is null").select("ordinal", F.explode("buckets").alias("bucket"))
+    return left.select("ordinal", F.col("ordinal").alias("keeper")) if removed is None else removed
 
 
 def minhash_duplicates(records: DataFrame, num_perm: int = 128, bands: int = 8, rows: int = 16, known: DataFrame | None = None) -> DataFrame:
@@ -128,6 +126,7 @@ def minhash_duplicates(records: DataFrame, num_perm: int = 128, bands: int = 8,
     entries = band_entries(records.where(is_content()), num_perm, bands, rows)
     if known is None:
         return first_wins(entries)
+    entries = settled(entries)
     hit = entries.join(known.select("bucket", F.col("ordinal").alias("keeper")), "bucket").groupBy("ordinal").agg(F.min("keeper").alias("keeper"))
     hit = settled(hit)
     return hit.union(first_wins(entries.join(hit, "ordinal", "left_anti")))
