@@ -167,17 +167,19 @@ def parse_bookmarks(text: str) -> list[dict]:
     return parser.found
 
 
-def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
-    """``url, type, categories`` of bookmark files, a row for each URL's first place."""
+def read_bookmarks(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """``url, type, categories`` of bookmark files, a row for each URL's first place by file and position; with ``every``, one for each bookmark."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [r for content in b.column("content").to_pylist() for r in parse_bookmarks(content.decode("utf-8", "replace"))]
-            yield pa.record_batch([pa.array([r["url"] for r in rows], pa.string()), pa.array([r["categories"] for r in rows], pa.list_(pa.string()))], names=["url", "categories"])
+            rows = [(file, i, r) for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for i, r in enumerate(parse_bookmarks(content.decode("utf-8", "replace")))]
+            yield pa.record_batch([pa.array([f for f, _, _ in rows], pa.string()), pa.array([i for _, i, _ in rows], pa.int64()), pa.array([r["url"] for *_, r in rows], pa.string()), pa.array([r["categories"] for *_, r in rows], pa.list_(pa.string()))], names=["file", "place", "url", "categories"])
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "url string, categories array<string>")
-    return found.dropDuplicates(["url"]).select("url", detect_source_type("url").alias("type"), "categories")
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, place long, url string, categories array<string>")
+    if not every:
+        found = found.groupBy("url").agg(F.min_by("categories", F.struct("file", "place")).alias("categories"))
+    return found.select("url", detect_source_type("url").alias("type"), "categories")
 
 
 def read_sitemap(spark: SparkSession, path: str, pattern: str | None = None, max_urls: int | None = None) -> DataFrame:

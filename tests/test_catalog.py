@@ -56,3 +56,13 @@ def test_code_share_keeps_documents_with_code(spark, tmp_path):
         want[i] = (len(sizes), sum(sizes) / len(t) if t else 0.0)
     assert got.keys() == want.keys() and any(n for n, _ in got.values())
     assert all(got[i][0] == n and got[i][1] == pytest.approx(share) for i, (n, share) in want.items())
+
+
+def test_bookmark_sources_keeps_pages_of_one_url(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.org/x"), (2, "https://a.org/x"), (10, "https://a.org/x"), (3, "https://a.org/y.pdf?a=1&b=2")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    rel = c.execute(catalog.ORACLE_SQL["bookmark_sources"])
+    names = [d[0] for d in rel.description]
+    df = catalog.QUERIES["bookmark_sources"](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows(names, rel.fetchall()) and df.count() == 4

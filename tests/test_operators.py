@@ -238,3 +238,13 @@ def test_sitemaps_are_followed_to_their_end(spark):
     frame = spark.createDataFrame(bodies, "url string, body string")
     follow = lambda **k: sorted(r.url for r in readers.follow_sitemaps(spark.createDataFrame([("i",)], "url string"), frame, **k).collect())
     assert follow() == ["p1", "p2&x", "p3"] and follow(depth=1) == ["p1", "p2&x"] and follow(max_urls=1) == ["p1"] and follow(pattern="3$") == ["p3"]
+
+
+def test_bookmarks_of_one_url(spark, tmp_path):
+    link = lambda folder, url: f'<DT><H3>{folder}</H3><DL><DT><A HREF="{url}">N</A></DL>'
+    for i in range(6):
+        (tmp_path / f"{i}.html").write_text("<DL>" + link(f"{i}a", "https://n.com/") + link(f"{i}b", "https://n.com/") + link(f"{i}c", f"https://n.com/{i}.pdf") + "</DL>")
+    first = {r.url: (r.type, r.categories) for r in readers.read_bookmarks(spark, str(tmp_path)).collect()}
+    assert first == {"https://n.com/": ("html", ["0a"])} | {f"https://n.com/{i}.pdf": ("pdf", [f"{i}c"]) for i in range(6)}
+    every = sorted((r.url, r.categories[0]) for r in readers.read_bookmarks(spark, str(tmp_path), every=True).collect())
+    assert every == sorted([("https://n.com/", f"{i}{x}") for i in range(6) for x in "ab"] + [(f"https://n.com/{i}.pdf", f"{i}c") for i in range(6)])
