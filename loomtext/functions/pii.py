@@ -13,6 +13,11 @@ MARK = "[REDACTED]"
 # domains 255, as mail allows; without a bound, time would grow with the square of a run such as a-a-a-a.
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Z|a-z]{2,}\b"
 EMAIL_BRACKETED = r"(?iuU)\b([A-Za-z0-9._%+-]{1,64})\s*(?:\[at\]|\(at\)|\{at\}|<at>|AT|@)\s*([A-Za-z0-9.-]{1,255})\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|DOT|\.)\s*([A-Za-z]{2,})\b"
+# The same without prose such as "that anecdote": a bare AT or DOT is a word of its own, or stands in upper case among other letters.
+EMAIL_BRACKETED_WORDS = (
+    r"(?iuU)\b([A-Za-z0-9._%+-]{1,64})(?:\s*(?:\[at\]|\(at\)|\{at\}|<at>|@|(?-i:(?<!\p{Lu})AT(?!\p{Lu})))\s*|\s+AT\s+)"
+    r"([A-Za-z0-9.-]{1,255})(?:\s*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\.|(?-i:(?<!\p{Lu})DOT(?!\p{Lu})))\s*|\s+DOT\s+)([A-Za-z]{2,})\b"
+)
 EMAIL_SPELT = r"(?iuU)\b([A-Za-z0-9._%+-]{2,64})\s+at\s+([A-Za-z0-9.-]{2,255})\s+dot\s+([A-Za-z]{2,})\b"
 PHONE_INTERNATIONAL = r"(?U)\+\d{1,3}[\s.-]?\(?\d{1,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}(?:[\s.-]?\d{1,4})?"
 PHONE_RUSSIAN = r"(?U)\b8[\s.-]?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2}\b"
@@ -47,6 +52,7 @@ _SIGN_PATTERNS = {
     IP: r"\p{Nd}\.\p{Nd}", KEY_IN_KEY: r"(?iu)(key|token|secret|passw|pwd)[a-z_-]*\s*[:=]", KEY_VALUE: r"(?iu)key|token|secret|passw|pwd", TOKEN_VALUE: r"(?iu)token", BEARER: r"(?iu)bearer",
     GITHUB_USER: r"(?iu)github\.com/@", GIT_SSH: r"(?iu)git@github",
 }
+_SIGN_PATTERNS[EMAIL_BRACKETED_WORDS] = _SIGN_PATTERNS[EMAIL_BRACKETED]
 
 
 def _quoted(mark: str) -> str:
@@ -58,12 +64,12 @@ def signed(t: Column, pattern: str) -> Column:
     return t.contains(_SIGNS[pattern]) if pattern in _SIGNS else t.rlike(_SIGN_PATTERNS[pattern])
 
 
-def steps(mark: str = MARK) -> list[tuple[str, str]]:
-    """The patterns in their order, with what takes a match's place."""
+def steps(mark: str = MARK, words: bool = False) -> list[tuple[str, str]]:
+    """The patterns in their order, with what takes a match's place; ``words`` leaves AT and DOT inside words alone."""
     m, fixed = _quoted(mark), _quoted(MARK)
     three = f"$1 {m} $2 {m} $3"
     return [
-        (EMAIL, m), (EMAIL_BRACKETED, three), (EMAIL_SPELT, three), (PHONE_INTERNATIONAL, m), (PHONE_RUSSIAN, m), (PHONE, m), (IP, m), (SSN, m),
+        (EMAIL, m), (EMAIL_BRACKETED_WORDS if words else EMAIL_BRACKETED, three), (EMAIL_SPELT, three), (PHONE_INTERNATIONAL, m), (PHONE_RUSSIAN, m), (PHONE, m), (IP, m), (SSN, m),
         (KEY_IN_KEY, f"$2{fixed}$3{fixed}"), (KEY_VALUE, f"$1{fixed}$3"), (TOKEN_VALUE, f"$1{fixed}$3"), (BEARER, f"$1{fixed}"),
         *((p, m) for p in BARE_TOKENS), (GITHUB_USER, f"$1{m}"), (GIT_SSH, f"git{m}$2$3"),
     ]
@@ -73,11 +79,11 @@ def _when_signed(pattern: str, to: str):
     return lambda x: F.when(signed(x, pattern), F.regexp_replace(x, pattern, to)).otherwise(x)
 
 
-def remove_pii(c: Column | str, mark: str = MARK) -> Column:
+def remove_pii(c: Column | str, mark: str = MARK, words: bool = False) -> Column:
     """The text with addresses, phones, numbers and secrets replaced.  Values that are assigned to a key are replaced, their key stays
-    unless it holds the value itself."""
+    unless it holds the value itself.  ``words`` leaves words such as "that anecdote", which hold AT and DOT, as they are."""
     t = col(c)
-    for pattern, to in steps(mark):
+    for pattern, to in steps(mark, words):
         t = let(t, _when_signed(pattern, to))
     return t
 
@@ -106,8 +112,8 @@ PIIKINDS = tuple(KINDS)
 
 
 def clean_pairs(df, mark: str = MARK, conversation: bool = True):
-    """Redacts prompt and completion, and the turns of a conversation too unless told not to."""
-    df = df.withColumns({c: remove_pii(c, mark) for c in ("prompt", "completion")})
+    """Redacts prompt and completion, and the turns of a conversation too unless told not to; AT and DOT inside words are no address."""
+    df = df.withColumns({c: remove_pii(c, mark, words=True) for c in ("prompt", "completion")})
     if conversation and "conversation" in df.columns:
-        df = df.withColumn("conversation", F.transform("conversation", lambda t: t.withField("content", remove_pii(t["content"], mark))))
+        df = df.withColumn("conversation", F.transform("conversation", lambda t: t.withField("content", remove_pii(t["content"], mark, words=True))))
     return df

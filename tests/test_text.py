@@ -101,3 +101,21 @@ def test_pii_takes_a_key_that_is_its_value(spark):
 def test_strip_is_that_of_python(spark):
     texts = [" a\u00a0", "\u2003\x1cb\x85\u3000", "\n\t", "", "c \u200b"]
     assert values(spark, texts, T.strip) == [t.strip() for t in texts]
+
+
+def test_pairs_keep_words_that_hold_at_and_dot(spark):
+    prose = ["la osjata dotaci n", "That anecdote", "a WHAT ANECDOTE b", "patadota"]
+    told = ["bob AT example DOT com", "bobATexampleDOTcom", "bob [at] example [dot] com", "bob@example dot com", "bob(at)example.com", "bob at example.com", "BOB AT EXAMPLE DOT COM", "mail a.b@example.org"]
+    frame = spark.createDataFrame([(t, t, [(t,)]) for t in prose + told], "prompt string, completion string, conversation array<struct<content:string>>")
+    got = [(r.prompt, r.completion, r.conversation[0].content) for r in pii.clean_pairs(frame).collect()]
+    assert got[: len(prose)] == [(t, t, t) for t in prose]
+    assert [g[0] for g in got[len(prose) :]] == values(spark, told, pii.remove_pii) and all("[REDACTED]" in x for g in got[len(prose) :] for x in g)
+
+
+def test_pairs_of_long_runs_are_quick(spark):
+    import time
+
+    texts = ["a-" * 20_000, "at-" * 20_000 + ".", "at " * 20_000 + "dot", "x@" * 10_000, "aAT" * 10_000]
+    began = time.monotonic()
+    got = values(spark, texts, lambda c: pii.remove_pii(c, words=True))
+    assert time.monotonic() - began < 60 and got[0] == texts[0]
