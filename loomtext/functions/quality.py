@@ -135,9 +135,9 @@ def quality_score(m: Column | str, cfg: QualityConfig | None = None) -> Column:
     m = col(m)
     known = F.coalesce(m["language"].isin(*cfg.languages_allowed, "mixed"), F.lit(False)) if cfg.language != "multi" else F.lit(False)
     score = (
-        0.4 * F.least(m["chars"] / 1000, F.lit(1.0)) + 0.25 * m["alpha_ratio"] + 0.15 * (1 - m["dup_line_ratio"]) + 0.10 * (1 - F.round(m["code_ratio"], 3)) + 0.10 * F.when(known, 1.0).otherwise(0.0)
+        0.4 * F.least(m["chars"] / 1000, F.lit(1.0)) + 0.25 * m["alpha_ratio"] + 0.15 * (1 - m["dup_line_ratio"]) + 0.10 * (1 - T.rounded(m["code_ratio"])) + 0.10 * F.when(known, 1.0).otherwise(0.0)
     )
-    return F.round(score, 3)
+    return T.rounded(score)
 
 
 def perplexity_ok(perplexity: Column | str, limit: float = 1000.0) -> Column:

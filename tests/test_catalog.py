@@ -66,3 +66,16 @@ def test_bookmark_sources_keeps_pages_of_one_url(spark, tmp_path):
     names = [d[0] for d in rel.description]
     df = catalog.QUERIES["bookmark_sources"](spark, str(tmp_path))
     assert rows(df.columns, df.collect()) == rows(names, rel.fetchall()) and df.count() == 4
+
+
+@pytest.mark.parametrize("name", ["score_histogram", "quality_metrics"])
+def test_scores_near_a_half_round_as_in_sql(spark, tmp_path, name):
+    sizes = [(510, 399), (500, 399), (490, 399), (570, 389), (180, 145), (2294, 1305), (2000, 1001), (2000, 1023), (4000, 2006)]
+    texts = ["ab" * (n // 2) + "a" * (n % 2) + "-" * (size - n) for size, n in sizes] + ["a\nb\n" * 4 + "c\n" * 3, "", "word"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = c.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in rel.description]
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows(names, rel.fetchall())
