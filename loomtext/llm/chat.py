@@ -12,6 +12,8 @@ from .cluster import mark, trimmed, written
 
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
+_TOOL = "name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>>"
+_TOOLS = f"struct<tools:array<struct<{_TOOL},function:struct<{_TOOL}>>>>"
 
 
 @dataclass(frozen=True)
@@ -24,7 +26,11 @@ class ChatConfig:
 
 def _json_type(value: Column) -> Column:
     """Type of a JSON value given as text: string, number, boolean, null, array or object."""
-    kind = F.schema_of_variant(F.try_parse_json(value))
+    return _kind(F.try_parse_json(value))
+
+
+def _kind(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
     return (
         F.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
     )
@@ -35,10 +41,36 @@ def canonical_json(value: Column) -> Column:
     return F.to_json(F.try_parse_json(value))
 
 
-def _problems(name: Column, arguments: Column, cfg: ChatConfig) -> Column:
-    """Why a call's arguments don't fit its tool's schema; empty if they do.  Without schemas, any object fits."""
+def _declared(parsed: DataFrame) -> DataFrame:
+    """``c, tools``: the tools that the system messages of a conversation declare, by themselves or as ``function``."""
+    plain = F.transform(F.array_compact("tools"), lambda x: F.coalesce(x["function"], F.struct(x["name"].alias("name"), x["parameters"].alias("parameters"))))
+    return parsed.where("size(tools) > 0").select(F.col("conv").alias("c"), plain.alias("tools")).groupBy("c").agg(F.flatten(F.collect_list("tools")).alias("tools"))
+
+
+def _undeclared(name: Column, arguments: Column, tools: Column) -> Column:
+    """Why a call fits none of its conversation's declarations of its tool; null if it fits one or none are made.  Declarations without
+    properties take any; an integer is a number."""
+    given = F.try_parse_json(arguments).try_cast("map<string,variant>")
+    listed = lambda c: F.coalesce(c, F.lit(False))
+
+    def fits(tool: Column) -> Column:
+        types, needed = tool["parameters"]["properties"], tool["parameters"]["required"]
+        kind = lambda e: F.try_element_at(types, e["key"])["type"]
+        kinds = lambda e: F.transform(F.regexp_extract_all(kind(e), F.lit(r"\w+"), F.lit(0)), lambda k: F.when(k == "integer", "number").otherwise(k))
+        typed = F.forall(F.map_entries(given), lambda e: listed(F.array_contains(F.map_keys(types), e["key"])) & (kind(e).isNull() | listed(F.array_contains(kinds(e), _kind(e["value"])))))
+        return (types.isNull() | listed(typed)) & (needed.isNull() | listed(F.size(F.array_except(needed, F.map_keys(given))) == 0))
+
+    named = F.filter(tools, lambda t: listed(t["name"] == name))
+    return F.when(F.size(tools) > 0, F.when(F.size(named) == 0, "unknown tool").when(~F.exists(named, fits), "misfit"))
+
+
+def _problems(name: Column, arguments: Column, cfg: ChatConfig, tools: Column) -> Column:
+    """Why a call's arguments don't fit its tool's schema; empty if they do.  Without schemas of the config, those of ``tools``, the
+    conversation's own, hold; without these too, any object fits."""
     parsed = F.try_parse_json(arguments)
     bad = [F.when(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit("not an object"))]
+    if not cfg.schemas:
+        bad.append(_undeclared(name, arguments, tools))
     if cfg.schemas:
         bad.append(F.when(~F.coalesce(name.isin(list(cfg.schemas)), F.lit(False)), F.lit("unknown tool")))
     for tool, types in sorted(cfg.schemas.items()):
@@ -105,7 +137,8 @@ def format_chats(messages: DataFrame, config: ChatConfig | None = None) -> DataF
     An assistant's ``content`` beside its calls, unless null, is a message of its own at its turn, before the calls.
     Calls come in topological order: not before the turn of any they depend on, then by level, the longest chain of
     dependencies, then as they stand; a result follows its call.  Calls on a cycle or with an unknown reference are ``unordered`` and keep their place last.
-    Arguments are validated against their tool's schema.  Messages are objects with sorted keys.
+    Arguments are validated against their tool's schema, which the config gives or else a system message of the conversation that is a
+    JSON object with ``tools`` (``name, parameters``, by themselves or in ``function``) and stays a message.  Messages are objects with sorted keys.
 
     Calls that share an identifier in a conversation all count.  A result or reference means the last one before it (for
     results, up to their own turn), or the first one if none is before.  Results without a call are
@@ -122,11 +155,13 @@ def format_chats(messages: DataFrame, config: ChatConfig | None = None) -> DataF
     said = F.when((F.col("role") == "assistant") & looks, F.from_json("text", _CALLS))
     result_in = F.when((F.col("role") == "tool") & looks, F.from_json("text", _RESULT))
     parsed = rows.withColumn("said", said).withColumn("calls", F.array_compact("said.tool_calls")).withColumn("said", F.col("said.content"))
-    parsed = written(parsed.withColumn("result", result_in), "messages")
+    tools_in = F.when((F.col("role") == "system") & looks, F.from_json("text", _TOOLS)["tools"])
+    parsed = written(parsed.withColumn("result", result_in).withColumn("tools", tools_in), "messages")
     calls = parsed.where("size(calls) > 0").select("conv", "turn", F.col("text").alias("message"), F.posexplode("calls").alias("place", "call"))
     calls = calls.select("conv", "turn", "message", "place", F.coalesce("call.id", F.concat_ws("/", F.lit("unnamed"), F.col("turn").cast("string"), F.col("place").cast("string"))).alias("id"), "call.name", "call.arguments")
     every = calls.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "id").orderBy("turn", "message", "place")))
-    every = written(every.withColumn("problems", _problems(F.col("name"), F.col("arguments"), cfg)).withColumn("needs", F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1)))), "calls")
+    every = every.join(_declared(parsed), F.expr("conv <=> c"), "left").withColumn("problems", _problems(F.col("name"), F.col("arguments"), cfg, F.col("tools"))).drop("c", "tools")
+    every = written(every.withColumn("needs", F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1)))), "calls")
     asked = every.where("size(needs) > 0").select("conv", F.explode("needs").alias("id"), _place().alias("k"), F.col("id").alias("of"), F.col("nth").alias("of_nth"), "turn")
     needs = written(_nth(asked, every).select("conv", F.col("of").alias("id"), F.col("of_nth").alias("nth"), "turn", F.col("id").alias("on"), F.col("nth").alias("on_nth")), "needs")
     refs = needs.groupBy("conv", "id", "nth").agg(F.collect_list(F.struct("on", "on_nth")).alias("refs"))

@@ -217,3 +217,19 @@ def test_canonical_json(spark):
     text = json.dumps(value)
     got = spark.createDataFrame([(text,)], "t string").select(canonical_json(F.col("t"))).first()[0]
     assert json.loads(got) == value and spark.createDataFrame([("{",)], "t string").select(canonical_json(F.col("t"))).first()[0] is None
+
+
+def test_op4_checks_calls_against_tools_of_the_conversation(spark, tmp_path):
+    from loomtext.llm.queries import op4_chat_format
+
+    add = {"name": "add", "parameters": {"type": "object", "properties": {"x": {"type": "integer"}, "a.b": {"type": ["string", "null"]}, "any": {}}, "required": ["x"]}}
+    tools = json.dumps({"content": "be kind", "tools": [add, None, {"type": "function", "function": {"name": "free"}}]})
+    args = ['{"x":1}', '{"x":1,"a.b":null,"any":[1]}', '{"x":"1"}', '{"a.b":"k"}', '{"x":1,"other":2}', '{"x":1,"a.b":2}', "[1]", '{"x":{"$ref":"c0"}}', None]
+    say = lambda turn, i, name, a: (turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": name, "arguments": a}]}))
+    talk = [say(i + 2, f"c{i}", "add", a) for i, a in enumerate(args)] + [say(20, "f", "free", '{"z":1}'), say(21, "u", "none", "{}"), say(22, "n", None, "{}"), (23, "tool", '{"tool_call_id":"c0","content":"r"}')]
+    rows = [(c, *m) for c in (1, 2, None) for m in [(0, "system", tools if c != 2 else "be kind"), *talk]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in op4_chat_format(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_messages, r.n_calls, r.n_linked, r.n_invalid) for k, r in got.items()} == {1: (14, 12, 1, 9), None: (14, 12, 1, 9), 2: (14, 12, 1, 2)}
+    chat = json.loads(got[1].chat)
+    assert chat[0] == {"content": tools, "role": "system"} and [m.get("id", m.get("tool_call_id")) for m in chat[1:4]] == ["c0", "c0", "c1"]
